@@ -5,20 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .ngram_join import ngram_join
+from . import bpe, mixing, ngram_join, secrets, shard
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: File name of the tokenizer vocabulary; its folder is that of the installed public_tokenizers.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_docs(spark, sf_dir))
+    return out.select("doc_id", "source", F.col("__bytes").alias("n_bytes"), F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__start").alias("start"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(_docs(spark, sf_dir), vocabulary_path())
+
+
+def op7_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.shard(_docs(spark, sf_dir))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_docs(spark, sf_dir))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(_docs(spark, sf_dir))
+    return ngram_join.ngram_join(_docs(spark, sf_dir))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_ngram_jaccard_join": op9_ngram_jaccard_join}
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in (op2_mix_to_weights, op3_bpe, op7_two_pass_shuffle, op8_secret_scan, op9_ngram_jaccard_join)}
 
 
 def oracles() -> dict[str, str]:
