@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ngram_join, secrets, shard
+from tessera.functions.ship import ship
+
+from . import bpe, mixing, ngram_join, perplexity, quality, secrets, shard
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +24,7 @@ def vocabulary_path() -> str:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op2_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +48,16 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_docs(spark, sf_dir))
 
 
+def op5_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.rules(_docs(spark, sf_dir))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mix_to_weights, op3_bpe, op7_two_pass_shuffle, op8_secret_scan, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_mix_to_weights, op3_bpe, op5_perplexity_rules, op6_quality_classifier, op7_two_pass_shuffle, op8_secret_scan, op9_ngram_jaccard_join)}
 
 
 def oracles() -> dict[str, str]:
