@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ship import ship
 
-from . import bpe, mixing, ngram_join, perplexity, quality, secrets, shard
+from . import bpe, mixing, ngram_join, perplexity, quality, secrets, shard, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_spans(_docs(spark, sf_dir))
+
+
 def op2_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_docs(spark, sf_dir))
     return out.select("doc_id", "source", F.col("__bytes").alias("n_bytes"), F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__start").alias("start"))
@@ -57,7 +61,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mix_to_weights, op3_bpe, op5_perplexity_rules, op6_quality_classifier, op7_two_pass_shuffle, op8_secret_scan, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_mix_to_weights, op3_bpe, op5_perplexity_rules, op6_quality_classifier, op7_two_pass_shuffle, op8_secret_scan, op9_ngram_jaccard_join)}
 
 
 def oracles() -> dict[str, str]:
