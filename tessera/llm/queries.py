@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ship import ship
 
-from . import bpe, mixing, ngram_join, perplexity, quality, secrets, shard, substring
+from . import bpe, embedding, mixing, ngram_join, perplexity, pii, quality, secrets, shard, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_docs(spark, sf_dir))
 
 
+def op4_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_docs(spark, sf_dir))
+
+
 def op5_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.rules(_docs(spark, sf_dir))
 
@@ -60,8 +64,31 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_dedup(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(ship(spark), sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_mix_to_weights, op3_bpe, op5_perplexity_rules, op6_quality_classifier, op7_two_pass_shuffle, op8_secret_scan, op9_ngram_jaccard_join)}
+    every = (
+        op1_substring_dedup,
+        op2_mix_to_weights,
+        op3_bpe,
+        op4_pii_boosted,
+        op5_perplexity_rules,
+        op6_quality_classifier,
+        op7_two_pass_shuffle,
+        op8_secret_scan,
+        op9_ngram_jaccard_join,
+        op10_embedding_graph,
+        pipeline,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracles() -> dict[str, str]:
