@@ -36,3 +36,10 @@ def oracles() -> dict[str, str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _QUERIES["interval_union"](spark, sf_dir)
+
+
+from . import rows  # noqa: E402, F401  (enters its queries)
