@@ -42,4 +42,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["interval_union"](spark, sf_dir)
 
 
-from . import rows  # noqa: E402, F401  (enters its queries)
+from . import matching, rows, summary  # noqa: E402, F401  (enter their queries)
