@@ -113,12 +113,12 @@ def mix(
     passed = F.from_json(F.lit(json.dumps(ends)), "array<long>")
     period = 2 * F.size(F.filter(passed, lambda e: e < F.col("__p"))) + F.array_contains(passed, F.col("__p")).cast("int")
     first = F.aggregate(sources, F.lit(0).cast("long"), lambda a, x: a + F.least(x["b"], F.col("__p") * x["w"]))
-    rows = rows.select("*", F.col("__s.i").alias("sidx"), period.alias("period"), (F.col("__block") % F.col("__s.w")).cast("int").alias("nth"), first.alias("__first"))
+    rows = rows.select("*", F.col("__s.i").alias("__sidx"), period.alias("__period"), (F.col("__block") % F.col("__s.w")).cast("int").alias("__nth"), first.alias("__first"))
     table = _schedule(spark, own, blocks)
     if (2 * len(ends) + 1) * sum(own) <= BROADCAST_SLOTS:
         table = F.broadcast(table)
     table = table.select(F.col("sidx").alias("__i"), F.col("period").alias("__q"), F.col("nth").alias("__n"), F.col("at").alias("__at"))
-    return rows.join(table, (F.col("sidx") == F.col("__i")) & (F.col("period") == F.col("__q")) & (F.col("nth") == F.col("__n"))).select(
+    return rows.join(table, (F.col("__sidx") == F.col("__i")) & (F.col("__period") == F.col("__q")) & (F.col("__nth") == F.col("__n"))).select(
         *[rows[c] for c in docs.columns], "__source", "__bytes", "__block", (F.col("__first") + F.col("__at")).alias("__slot"), "__start"
     )
 
