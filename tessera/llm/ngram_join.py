@@ -7,10 +7,11 @@
 3. Each class orders its set rare-first: unshared shingles, then shared ones by class count,
    ties by hash. Of n shingles the first n - ceil(t n) + 1 are the prefix; linked classes
    meet in a shingle of both prefixes.
-4. Candidates of a shingle: first each class with three hubs of that shingle (a star rather
-   than all pairs). Verified links give components; then only classes of different
-   components are paired, in chunks of bounded size. So a group of thousands of near copies
-   costs a few pairs for each member, and no pair between components goes unexamined.
+4. Candidates of a shingle: in three rounds, its classes with three hubs (a star rather than all
+   pairs). Verified links give components; only classes of different components are paired further.
+   At last the classes outside the largest component of a shingle meet all others, in chunks of
+   bounded size. So a group of thousands of near copies costs a few pairs for each member, and no
+   pair between components goes unexamined.
 5. A pair must pass the length filter, the positional bound at the shingle where it met, and
    the suffix bound: the sets are cut at fixed hash pivots into ranges, and the sum of the
    smaller counts bounds the overlap. Survivors are verified once, exactly, on shared shingles.
@@ -36,7 +37,15 @@ WIDTH, PERCENT = 5, 80
 #: Shingles that one reducing group holds at most on average, and those a map task gathers before it sends.
 PART_ENTRIES, FLUSH_ENTRIES = 2_000_000, 4_000_000
 CHUNK = 512
-RANGES = 16
+#: Ranges into which the suffix filter cuts the sets (a power of two, 64 at most).
+RANGES = 64
+#: Hubs of a shingle in each round, by their order among its classes. Few unshared shingles make a good
+#: hub; later rounds take hubs by seeds, the same for all shingles that a group shares.
+HUBS = (
+    ("struct(e.n - e.shared, e.cls)", "struct(e.n, e.cls)", "struct(-e.n, e.cls)"),
+    ("xxhash64(e.cls, 1)", "xxhash64(e.cls, 2)", "struct(e.n - e.shared, xxhash64(e.cls, 3))"),
+    ("xxhash64(e.cls, 4)", "xxhash64(e.cls, 5)", "xxhash64(e.cls, 6)"),
+)
 
 
 def _sets(batches, text: str, width: int):
@@ -163,13 +172,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve(held)
 
 
-def _passes(a: str, b: str, percent: int) -> F.Column:
-    """Length, positional and suffix filters for prefix entries a and b that met in one shingle."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+def _passes(a: str, b, percent: int) -> F.Column:
+    """Length, positional and suffix filters for prefix entries that met in one shingle; b may be a getter."""
+    get = b if callable(b) else lambda f: F.col(f"{b}.{f}")
+    mine = lambda f: F.col(f"{a}.{f}")
+    na, nb = mine("n"), get("n")
     need = F.ceil((na + nb) * percent / (100 + percent) - 1e-6)
-    left = lambda x: F.col(f"{x}.shared") - F.col(f"{x}.at")
-    ranges = F.aggregate(F.zip_with(f"{a}.ranges", f"{b}.ranges", lambda p, q: F.least(p, q)), F.lit(0), lambda s, x: s + x)
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(left(a), left(b)) >= need) & (ranges >= need)
+    after = F.least(mine("shared") - mine("at"), get("shared") - get("at"))
+    ranges = F.aggregate(F.zip_with(mine("ranges"), get("ranges"), lambda p, q: F.least(p, q)), F.lit(0), lambda s, x: s + x)
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (after >= need) & (ranges >= need)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -198,7 +209,7 @@ def class_links(docs: DataFrame, member: DataFrame, stage: Stage, width: int = W
         .sortWithinPartitions("part")
         .mapInArrow(_shared, "cls long, n long, hash long, df long")
     )
-    bucket = F.shiftrightunsigned("hash", 60)
+    bucket = F.shiftrightunsigned("hash", 64 - RANGES.bit_length() + 1)
     sets = stage.save(
         shared.groupBy("cls", "n")
         .agg(
@@ -215,41 +226,39 @@ def class_links(docs: DataFrame, member: DataFrame, stage: Stage, width: int = W
         .select("hash", F.struct("cls", "n", "shared", "ranges", "at").alias("e")),
         "prefix",
     )
-    hubs = prefix.groupBy("hash").agg(
-        F.count("*").alias("members"),
-        F.min_by("e", F.struct("e.n", "e.cls")).alias("h1"),
-        F.max_by("e", F.struct("e.n", "e.cls")).alias("h2"),
-        F.min_by("e", "e.cls").alias("h3"),
-    )
-    star = (
-        prefix.join(hubs.where("members > 1"), "hash")
-        .select("e", F.explode(F.array("h1", "h2", "h3")).alias("h"))
-        .where((F.col("e.cls") != F.col("h.cls")) & _passes("e", "h", percent))
-        .select(*_pair("e", "h"))
-    )
-    first = stage.save(_verified(star, sets, percent), "links")
-    comps = connected_components(first, stage)
-    known = prefix.select("hash", "e", F.col("e.cls").alias("node")).join(comps, "node", "left")
-    known = stage.save(known.select("hash", "e", F.coalesce("comp", "node").alias("comp")), "known")
-    mixed = known.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hash")
-    mixed = known.join(mixed, "hash")
-    counts = mixed.groupBy("hash", "comp").agg(F.count("*").alias("c"))
-    chunks = (
-        mixed.join(counts, ["hash", "comp"])
-        .groupBy("hash", "comp", F.pmod(F.xxhash64("e.cls"), F.ceil(F.col("c") / CHUNK)).alias("chunk"))
-        .agg(F.collect_list("e").alias("es"))
+    links = None
+    known = prefix.withColumn("comp", F.col("e.cls"))
+    for nth in range(len(HUBS)):
+        hubs = known.groupBy("hash").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array(*[F.min_by(F.struct("e", "comp"), F.expr(key)) for key in HUBS[nth]]).alias("hubs")
+        )
+        star = (
+            known.join(hubs.where("lo < hi").select("hash", "hubs"), "hash")
+            .select("e", "comp", F.explode("hubs").alias("h"))
+            .where((F.col("comp") != F.col("h.comp")) & _passes("e", "h.e", percent))
+            .select(*_pair("e", "h.e"))
+        )
+        found = stage.save(_verified(star, sets, percent), "links")
+        links = found if links is None else links.union(found)
+        comps = connected_components(links, stage)
+        known = prefix.withColumn("node", F.col("e.cls")).join(comps, "node", "left")
+        known = stage.save(known.select("hash", "e", F.coalesce("comp", "node").alias("comp")), "known")
+    # what is left: members outside the largest component of a shingle, with all others of another component
+    sizes = known.groupBy("hash", "comp").agg(F.count("*").alias("c")).groupBy("hash")
+    sizes = sizes.agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("c"), F.count("*").alias("comps")).where("comps > 1")
+    mixed = known.join(sizes, "hash")
+    chunks = mixed.groupBy("hash", F.pmod(F.xxhash64("e.cls"), F.ceil(F.col("c") / CHUNK)).alias("chunk")).agg(F.collect_list(F.struct("e", "comp", "main")).alias("ys"))
+    strays = mixed.where("comp != main").select("hash", "e", "comp")
+    other = lambda y: (
+        (y["comp"] != F.col("comp")) & ((y["comp"] == y["main"]) | (y["e"]["cls"] > F.col("e.cls"))) & _passes("e", lambda f: y["e"][f], percent)
     )
     cross = (
-        chunks.select("hash", F.col("comp").alias("c1"), F.col("es").alias("xs"))
-        .join(chunks.select("hash", F.col("comp").alias("c2"), F.col("es").alias("ys")), "hash")
-        .where("c1 < c2")
-        .select(F.explode("xs").alias("x"), "ys")
-        .select("x", F.explode("ys").alias("y"))
-        .where(_passes("x", "y", percent))
-        .select(*_pair("x", "y"))
+        strays.join(chunks, "hash")
+        .select("e", F.explode(F.transform(F.filter("ys", other), lambda y: y["e"]["cls"])).alias("y"))
+        .select(F.least("e.cls", "y").alias("a"), F.greatest("e.cls", "y").alias("b"))
     )
-    stage.save(_verified(cross.join(first, ["a", "b"], "left_anti"), sets, percent), "links")
-    return docs.sparkSession.read.schema(first.schema).parquet(f"{stage.base}/links-0", f"{stage.base}/links-1")
+    stage.save(_verified(cross, sets, percent), "links")
+    return docs.sparkSession.read.schema(links.schema).parquet(*[f"{stage.base}/links-{n}" for n in range(len(HUBS) + 1)])
 
 
 def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
