@@ -42,4 +42,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["interval_union"](spark, sf_dir)
 
 
-from . import matching, rows, scalars, sets, summary  # noqa: E402, F401  (enter their queries)
+from . import folded, matching, rows, scalars, sets, summary  # noqa: E402, F401  (enter their queries)
