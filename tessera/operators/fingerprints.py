@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from tessera.functions.clock import packed
 
 
-def shingles(df: DataFrame, id_: str, text: str, width: int) -> DataFrame:
-    """(id, pos, hash): the md5 of each run of `width` words of other than white space (space, tab, line breaks)."""
+def shingles(df: DataFrame, id_: str, text: str, width: int, shown: bool = False) -> DataFrame:
+    """(id, pos, hash) of each run of `width` words of other than white space (space, tab, line breaks).
+
+    hash is a 64-bit number, or, where it is to be shown, the md5.
+    """
+    digest = (lambda c: F.md5(c.cast("binary"))) if shown else F.xxhash64
     words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     grams = F.transform(
         F.sequence(F.lit(0), F.size("__w") - width),
-        lambda i: F.struct(i.cast("bigint").alias("pos"), F.md5(F.array_join(F.slice("__w", i + 1, width), " ").cast("binary")).alias("hash")),
+        lambda i: F.struct(i.cast("bigint").alias("pos"), digest(F.array_join(F.slice("__w", i + 1, width), " ")).alias("hash")),
     )
     return df.select(id_, words.alias("__w")).where(F.size("__w") >= width).select(id_, F.inline(grams))
 

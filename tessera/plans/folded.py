@@ -99,7 +99,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "overlap_groups",
-    """WITH RECURSIVE s AS (SELECT event_id, user_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value * 60) AS BIGINT) * 1000000 AS e FROM events),
+    """WITH RECURSIVE s AS (SELECT event_id, user_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value * 60) AS BIGINT) * 1000000 AS e FROM events WHERE value * 60 >= 1),
     w AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
     i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM w),
     g AS (SELECT event_id, min(event_id) OVER (PARTITION BY user_id, i) AS comp, count(*) OVER (PARTITION BY user_id, i) AS n FROM i) SELECT event_id AS node, comp FROM g WHERE n > 1""",

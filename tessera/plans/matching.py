@@ -60,7 +60,7 @@ def containment_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT hash, df FROM (SELECT hash, count(DISTINCT doc_id) AS df FROM d GROUP BY hash), n WHERE df > floor(t * 0.01)""",
 )
 def stop_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.stop_hashes(grams(spark, sf_dir, "documents", "doc_id"), "doc_id", 0.01)
+    return fingerprints.stop_hashes(fingerprints.shingles(table(spark, sf_dir, "documents"), "doc_id", "text", WIDTH, shown=True), "doc_id", 0.01)
 
 
 @register(
