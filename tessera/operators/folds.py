@@ -240,3 +240,51 @@ def ratio_column(a: str, b: str):
         return pd.Series([None if p is None or q is None else indel_ratio(p, q) for p, q in zip(x, y, strict=True)], dtype="Int32")
 
     return ratio(F.col(a), F.col(b))
+
+
+def admit(budget: int) -> Fold:
+    """Rows (id, size) in order, each taken whole or not at all while its size still fits."""
+
+    def fold(rows: list[dict]) -> list[dict]:
+        out, used = [], 0
+        for r in rows:
+            if used + r["size"] <= budget:
+                used += r["size"]
+                out.append({"id": r["id"], "used": used})
+        return out
+
+    return fold
+
+
+def draw(count: int, apart: float, tries: int, seed: int) -> Fold:
+    """A seeded draw of up to `count` of the rows (at) that keep their distance; `tries` misses end it."""
+    import random
+
+    def fold(rows: list[dict]) -> list[dict]:
+        rng, taken, missed = random.Random(seed), [], 0
+        while rows and len(taken) < count and missed < tries:
+            at = rng.choice(rows)["at"]
+            if all(abs(at - t) >= apart for t in taken):
+                taken.append(at)
+            else:
+                missed += 1
+        return [{"at": t} for t in sorted(taken)]
+
+    return fold
+
+
+def batches(near: float) -> Fold:
+    """Rows (start, end, x) to the first batch that one of its rows touches in time and lies near."""
+
+    def fold(rows: list[dict]) -> list[dict]:
+        groups: list[list[dict]] = []
+        for r in rows:
+            for g in groups:
+                if any(abs(r["x"] - o["x"]) <= near and r["start"] <= o["end"] and o["start"] <= r["end"] for o in g):
+                    g.append(r)
+                    break
+            else:
+                groups.append([r])
+        return [{"start": min(r["start"] for r in g), "end": max(r["end"] for r in g), "n_rows": len(g)} for g in groups]
+
+    return fold

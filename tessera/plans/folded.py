@@ -156,3 +156,44 @@ def stream_first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("stream_state_machine")
 def stream_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, pipelines.tracked(pipelines.read(spark, sf_dir)), "append")
+
+
+@register("admission")
+def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.col("n_chars").alias("size"))
+    return folds.run(rows, ["source"], ["id"], folds.admit(40_000), "source string, id long, used long")
+
+
+@register("seeded_draw")
+def seeded_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select("user_id", F.col("us").alias("at"))
+    return folds.run(rows, ["user_id"], ["at"], folds.draw(5, 24 * HOUR, 64, 1), "user_id long, at long")
+
+
+@register("spatial_batches")
+def spatial_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minutes(spark, sf_dir).join(events(spark, sf_dir).select("event_id", F.col("value").alias("x")), "event_id")
+    return folds.run(rows, ["user_id"], ["start", "event_id"], folds.batches(25.0), "user_id long, start long, end long, n_rows int")
+
+
+@register("spectrum_peaks")
+def spectrum_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import signals
+
+    def found(x) -> list:
+        return [t * 1000 + f for t, f, _ in signals.peaks(signals.spectrum(x, 16, 8), 0.1, 3, 3)]
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return signals.per_row(rows, "embedding", "peaks", "array<int>", found).select("vec_id", F.explode("peaks").alias("peak"))
+
+
+@register(
+    "speech_activity",
+    """WITH o AS (SELECT user_id, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)) AS d FROM events WHERE value >= 10),
+    i AS (SELECT *, sum(CASE WHEN d > 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS i FROM o)
+    SELECT user_id, min(us) AS "start", max(us) AS "end", count(*) AS n_rows FROM i GROUP BY user_id, i HAVING max(us) - min(us) >= 3600000000""",
+)
+def speech_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import signals
+
+    return signals.activity(events(spark, sf_dir), ["user_id"], "us", F.col("value") >= 10, 12 * HOUR, HOUR)
