@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import ensure_checkpoint_dir
+
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 64) -> DataFrame:
     """(node, comp) of all nodes of the edges, by label propagation with shortcuts; lineage cut each round.
 
     Rounds grow with the logarithm of the longest path. Raises if `rounds` did not suffice.
     """
+    ensure_checkpoint_dir(edges.sparkSession)
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct().checkpoint()
     label = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("l")).select("u", "l")
     for _ in range(rounds):
@@ -23,12 +26,3 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 64) -> DataFrame:
             return new.select(F.col("u").alias("node"), F.col("l").alias("comp"))
         label = new
     raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
-def ensure_checkpoint_dir(spark) -> None:
-    """spark.checkpoint.dir where it is set; else a folder of our own (tests and single machines)."""
-    import tempfile
-
-    if not spark.sparkContext.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="tessera-"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import fresh_dir
 from tessera.operators import folds, graph
 from tessera.streaming import pipelines
 
@@ -90,7 +90,6 @@ def near_pairs_indel(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a AS node, min(b) AS comp FROM e GROUP BY a HAVING count(*) > 1""",
 )
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph.ensure_checkpoint_dir(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
     hub = docs.groupBy("h").agg(F.min("doc_id").alias("hub"))
     edges = docs.join(hub, "h").where("doc_id > hub")
@@ -107,7 +106,6 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators import spans
 
-    graph.ensure_checkpoint_dir(spark)
     rows = minutes(spark, sf_dir).where(F.col("end") > F.col("start"))
     ids = rows.select("user_id", F.col("start").alias("a_start"), F.col("event_id").alias("a"))
     pairs = spans.overlap_join(rows, rows, ["user_id"], 6 * HOUR)
@@ -116,7 +114,7 @@ def overlap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    return pipelines.drain(df, f"t{uuid.uuid4().hex}", mode, tempfile.mkdtemp(prefix="tessera-"))
+    return pipelines.drain(df, f"t{uuid.uuid4().hex}", mode, fresh_dir(spark, "stream"))
 
 
 @register(

@@ -93,7 +93,6 @@ def test_stream_state_machine_equals_its_fold(spark):
 
 
 def test_components_of_a_path(spark):
-    graph.ensure_checkpoint_dir(spark)
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.comp for r in graph.components(edges, "a", "b").collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
