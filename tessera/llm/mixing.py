@@ -24,7 +24,7 @@ from .native_util import byte_size
 SEED = 20_262
 BLOCK_BYTES = 1 << 20
 #: Rows that one window sees on average; bounds of the schedule table (at most 2 S + 1 periods of W slots).
-BUCKET_ROWS, MOST_SOURCES, MOST_SLOTS, BROADCAST_SLOTS = 20_000, 512, 20_000, 1_000_000
+BUCKET_ROWS, MOST_SOURCES, MOST_SLOTS, BROADCAST_SLOTS = 1_000, 512, 20_000, 1_000_000
 #: Production weights: slots of each period for a source; the others get DEFAULT_WEIGHT.
 WEIGHTS, DEFAULT_WEIGHT = {"src0": 200, "src1": 80, "src2": 20}, 40
 
