@@ -115,10 +115,6 @@ def fourier(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.column_stack([np.sqrt(2 / FEATURES) * np.cos(z @ w + b), np.ones(len(x))])
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(col.flatten().buffers()[1], np.float64)[: len(col) * len(NAMES)].reshape(-1, len(NAMES)) if len(col) else np.zeros((0, len(NAMES)))
-
-
 def with_statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, x) of each row."""
 
