@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words held by a Python worker between blocks; beyond that it starts anew.
-CACHE_WORDS = 300_000
+from .text_util import release
+
+#: Words and pairs of tokens held by a task between blocks; beyond that it starts anew.
+CACHE_WORDS, CACHE_PAIRS = 150_000, 500_000
 #: Characters of text that are split into words at a time.
 PIECE_CHARS = 1 << 20
 
@@ -107,7 +109,7 @@ class Tokenizer:
         key = before << 32 | t
         ok = self.apart.get(key)
         if ok is None:
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > CACHE_PAIRS:
                 self.apart.clear()
             ok = self.apart[key] = self._stands(-1, t) and not self._join(before, t)
         return ok
@@ -222,7 +224,7 @@ _LOADED: dict[str, Tokenizer] = {}
 
 
 def load(path: str) -> Tokenizer:
-    """One tokenizer for each path and Python worker."""
+    """One tokenizer for each path, until the task ends."""
     if path not in _LOADED:
         _LOADED[path] = Tokenizer(path)
     return _LOADED[path]
@@ -270,6 +272,9 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", doc_id: str =
                     if with_text:
                         out.append(pa.array(decoded))
                     yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(n for n, _ in extra)])
+        del own
+        _LOADED.clear()
+        release()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {n} {t}" for n, t in extra)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)

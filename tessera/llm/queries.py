@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.ship import ship
 
 from . import bpe, embedding, mixing, ngram_join, perplexity, pii, quality, secrets, shard, substring
+from .spark_util import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,7 +25,7 @@ def vocabulary_path() -> str:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return small_batches(ship(spark)).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

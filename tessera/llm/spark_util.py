@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIR[0]
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
+    """Arrow batches of whole texts stay small: fewer rows and bytes than the defaults, where those are what is set."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", "8388608b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+    return spark
+
+
 class Stage:
     """Tables written to the shared folder and read back: cuts lineage, survives lost executors.
 
@@ -33,7 +44,7 @@ class Stage:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark = small_batches(spark)
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made: dict[str, int] = {}
 
@@ -60,32 +71,64 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Edges that one task of a contraction holds on average.
+TASK_EDGES = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of this task's edges (u, v) with the smallest node it reaches by them, but for itself."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not got:
+        return
+    u, v = (np.concatenate(x) for x in zip(*got, strict=True))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    up = list(range(len(nodes)))
+    for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a < b:
+            up[b] = a
+        else:
+            up[a] = b
+    root = np.array(up)
+    while (root[root] != root).any():
+        root = root[root]
+    own = np.flatnonzero(root != np.arange(len(root)))
+    for k in range(0, len(own), 100_000):
+        part = own[k : k + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[root[part]])], ["u", "v"])
+
+
 def connected_components(edges: DataFrame, stage: Stage, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
     """(node, comp) for every node of an edge, comp being the smallest node reachable.
 
-    Alternates large-star and small-star contraction, each a map-side-combined minimum
-    and one join, until the edge set no longer changes. No group is gathered in a task.
+    Each round contracts the edges of each task to a forest of stars, then, while they are more than one
+    task's worth, brings stars together by large-star and small-star steps (map-side-combined minima and
+    a join each), until the edge set no longer changes. No task holds more than about TASK_EDGES edges.
     Null ends and loops are ignored; no edges give no rows.
     """
-    e = stage.save(
-        edges.where((F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), name
-    )
 
     def mark(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    seen = mark(e)
-    while seen[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+    e, seen = stage.save(e, name), None
+    while True:
+        now = mark(e)
+        tasks = -(-now[0] // TASK_EDGES)
+        if now == seen or not now[0]:
+            break
+        seen = now
+        e = (e.coalesce(tasks) if tasks == 1 else e.repartition(tasks)).mapInArrow(_forest, "u long, v long")
+        if tasks == 1:
+            e = stage.save(e, name)
+            break
+        both = stage.save(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), f"{name}-both")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stage.save(small.union(low.select("u", F.col("m").alias("v"))).distinct(), name)
-        now = mark(e)
-        if now == seen:
-            break
-        seen = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(
-        e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
-    )
+    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
