@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_util import Stage, connected_components, partitions
-from .text_util import blocks, hash_spans, lowered, windows, words
+from .text_util import blocks, hash_spans, lowered, release, windows, words
 
 WIDTH, PERCENT = 5, 80
 #: Shingles that one reducing group holds at most on average, and those a map task gathers before it sends.
-PART_ENTRIES, FLUSH_ENTRIES = 2_000_000, 4_000_000
+PART_ENTRIES, FLUSH_ENTRIES = 2_000_000, 1_000_000
 CHUNK = 512
+#: The class that marks a hot shingle, and the class count that stands for all hot ones: they rank last.
+HOT, HOT_DF = -(1 << 63), 1 << 40
 #: Ranges into which the suffix filter cuts the sets (a power of two, 64 at most).
 RANGES = 64
 #: Hubs of a shingle in each round, by their order among its classes. Few unshared shingles make a good
@@ -58,7 +60,8 @@ def _sets(batches, text: str, width: int):
 
 
 def _class_of(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
+    """A number for a set; never HOT."""
+    return max(int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64)), HOT + 1)
 
 
 def members(docs: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -80,15 +83,27 @@ def members(docs: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str
     )
 
 
-def _packed(docs: DataFrame, width: int, parts: int, text: str) -> DataFrame:
-    """(part, blob): the shingles of each class, dealt by hash into parts; a class goes once from each task."""
+def _packed(docs: DataFrame, width: int, parts: int, salts: int, hot: int, text: str) -> DataFrame:
+    """(part, blob): the shingles of each class, dealt by hash into parts; a class goes once from each task.
+
+    A shingle that `hot` or more classes of one flush hold is dealt by class into `salts` further groups of
+    its part, and a mark of it goes to the part itself. One that is less common in every flush cannot have
+    more entries than hot times the number of flushes. So no group outgrows a task.
+    """
 
     def flush(classes, sets):
+        if len(classes) >= hot:
+            found, count = np.unique(np.concatenate(sets), return_counts=True)
+            found = found[count >= hot]
+            classes, sets = [HOT, *classes], [found, *sets]
         size = np.array([len(s) for s in sets], np.int64)
         hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-        part = ((hashes >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
-        order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")
-        hashes, owner, part = hashes[order], owner[order], part[order].astype(np.int64)
+        part = (((hashes >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64) * (salts + 1)
+        if classes[0] == HOT and len(sets[0]):
+            salt = 1 + np.array(classes, np.int64)[owner] % salts
+            part += np.where((owner > 0) & np.isin(hashes, sets[0]), salt, 0)
+        order = np.argsort(part, kind="stable")
+        hashes, owner, part = hashes[order], owner[order], part[order]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
         cls = np.array(classes, np.int64)
         ids, blobs = [], []
@@ -122,14 +137,16 @@ def _packed(docs: DataFrame, width: int, parts: int, text: str) -> DataFrame:
                 classes, sets, held = [], [], 0
         if held:
             yield from flush(classes, sets)
+        del sent, classes, sets
+        release()
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "part long, blob binary")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of blobs sorted by part: (cls, n, hash, df) of shingles that two or more classes hold."""
+def _shared(batches: Iterator[pa.RecordBatch], salts: int) -> Iterator[pa.RecordBatch]:
+    """Of blobs sorted by part: (cls, n, hash, df) of shingles that two or more classes hold; hot ones have df HOT_DF."""
 
-    def solve(blobs):
+    def solve(blobs, salted):
         cls, size, hashes, first = [], [], [], []
         for b in blobs:
             m = int(np.frombuffer(b, np.int64, 1)[0])
@@ -143,7 +160,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(hashes)
         hashes, owner = hashes[order], owner[order]
         same = hashes[1:] == hashes[:-1]
-        keep = np.zeros(len(hashes), bool)
+        keep = np.full(len(hashes), salted)
         keep[1:] |= same
         keep[:-1] |= same
         hashes, owner = hashes[keep], owner[keep]
@@ -154,8 +171,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, owner = hashes[fresh], owner[fresh]
         begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
         run = np.diff(np.concatenate([begin, [len(hashes)]]))
-        df = np.repeat(run, run)
-        keep = df > 1
+        marked = cls[owner] == HOT
+        hot = np.repeat(np.logical_or.reduceat(marked, begin), run) if len(begin) else marked
+        df = np.where(hot | salted, HOT_DF, np.repeat(run, run))
+        keep = (df > 1) & ~marked
         out = [cls[owner[keep]], size[owner[keep]].astype(np.int64), hashes[keep].view(np.int64), df[keep].astype(np.int64)]
         for k in range(0, len(out[0]), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in out], ["cls", "n", "hash", "df"])
@@ -164,12 +183,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for p, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if p != part and held:
-                yield from solve(held)
+                yield from solve(held, part % (salts + 1) > 0)
                 held = []
             part = p
             held.append(blob.as_py())
     if held:
-        yield from solve(held)
+        yield from solve(held, part % (salts + 1) > 0)
+    del held
+    release()
 
 
 def _passes(a: str, b, percent: int) -> F.Column:
@@ -201,13 +222,15 @@ def _pair(x: str, y: str) -> list:
 
 def class_links(docs: DataFrame, member: DataFrame, stage: Stage, width: int = WIDTH, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """Verified links (a, b) between classes, enough to join every two linked classes by a path; staged."""
-    total = member.agg(F.sum("n_shingles")).first()[0] or 0
+    n, total = member.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     parts = max(1, min((1 << 24) - 1, -(-total // PART_ENTRIES)))
+    salts = max(1, -(-n // PART_ENTRIES))
+    hot = max(2, PART_ENTRIES // max(1, -(-total // FLUSH_ENTRIES)))
     shared = (
-        _packed(docs, width, parts, text)
+        _packed(docs, width, parts, salts, hot, text)
         .repartition(max(1, min(partitions(docs.sparkSession), parts)), "part")
         .sortWithinPartitions("part")
-        .mapInArrow(_shared, "cls long, n long, hash long, df long")
+        .mapInArrow(lambda batches: _shared(batches, salts), "cls long, n long, hash long, df long")
     )
     bucket = F.shiftrightunsigned("hash", 64 - RANGES.bit_length() + 1)
     sets = stage.save(

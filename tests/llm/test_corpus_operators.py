@@ -7,7 +7,7 @@ import brute
 import numpy as np
 import pytest
 
-from tessera.llm import embedding, mixing, ngram_join, shard, substring
+from tessera.llm import embedding, mixing, ngram_join, shard, spark_util, substring
 from tessera.llm.spark_util import Stage, connected_components
 
 
@@ -47,6 +47,21 @@ def test_join_on_a_large_group_of_near_copies(spark):
     assert max(Counter(comp.values()).values()) > 50
 
 
+def test_join_with_shingles_dealt_by_class(spark, monkeypatch):
+    """Small limits: a passage in a third of the texts, and near copies, outgrow a part."""
+    monkeypatch.setattr(ngram_join, "PART_ENTRIES", 40)
+    monkeypatch.setattr(ngram_join, "FLUSH_ENTRIES", 2_000)
+    rng, line, base, rows = random.Random(6), words(20, 50), words(60, 51), []
+    for i in range(150):
+        t = [*words(30, 1000 + i), *(line if i % 3 == 0 else [])] if i % 2 else list(base)
+        for _ in range(rng.randrange(0, 4)):
+            t[rng.randrange(len(t))] = f"w{rng.randrange(10**9)}"
+        rows.append((i, " ".join(t)))
+    rows += [(200 + i, " ".join([*line, *words(3, 3000 + i)])) for i in range(30)]
+    comp = check_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert max(Counter(comp.values()).values()) > 30
+
+
 def test_join_at_the_threshold(spark):
     a = [f"a{k}" for k in range(16)]
     rows = [(1, " ".join(a)), (2, " ".join(a[:-1])), (3, " ".join([*a, "z1", "z2"])), (4, " ".join([*a, "y1", "y2", "y3", "y4"])), (5, "one two"), (6, "ONE two")]
@@ -58,7 +73,9 @@ def test_join_empty(none):
     assert ngram_join.near_duplicate_keepers(none).columns == none.columns
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [500_000, 40])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(spark_util, "TASK_EDGES", most)
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(200)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(300)]
     df = spark.createDataFrame(edges, "a long, b long")
