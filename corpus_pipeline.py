@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.functions.ship import ship
 from tessera.llm import bpe, mixing, ngram_join, quality, secrets
 from tessera.llm.queries import vocabulary_path
-from tessera.llm.spark_util import Stage
+from tessera.llm.spark_util import Stage, small_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    small_batches(ship(spark))
     return secrets.redact(docs)
 
 
@@ -36,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    small_batches(ship(spark))
     return bpe.encode_decode(docs, vocabulary_path())
 
 
