@@ -1,8 +1,10 @@
 """Plain versions of the operators, to hold them against."""
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from fractions import Fraction
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -88,17 +90,29 @@ def base_counts(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
-def mixture(weights, blocks):
-    """(source, block) -> slot, by the schedule's own rule, slot by slot."""
-    slots, left, off = {}, dict(blocks), 0
-    while any(left.values()):
-        c = {s: min(weights[s], left[s]) for s in left}
-        total, done = sum(c.values()), dict.fromkeys(c, 0)
-        for t in range(total):
-            _, s = min((-(-(done[s] + 1) * total // c[s]), s) for s in c if done[s] < c[s] and done[s] * total // c[s] <= t)
-            slots[s, blocks[s] - left[s] + done[s]] = off + t
-            done[s] += 1
-            assert all(abs(done[s] - (t + 1) * c[s] / total) < 1 for s in c)
-        left = {s: left[s] - c[s] for s in left}
-        off += total
-    return slots
+def owed(weights, blocks, v):
+    """Slots gone by at virtual time v, when a source of weight w has been owed w * v blocks, or all it has."""
+    return sum(min(Fraction(blocks[s]), weights[s] * v) for s in blocks)
+
+
+def window(weights, blocks, s, i):
+    """First slot in which block i of source s may go, and the one by which it must have gone."""
+    lo, hi = (owed(weights, blocks, Fraction(k, weights[s])) for k in (i, i + 1))
+    return math.floor(lo), math.ceil(hi)
+
+
+def most_deviation(weights, slots):
+    """The largest distance of a source, while it has blocks, from its target share of the slots since another ran out.
+
+    slots: the source of each slot.
+    """
+    left, worst, due, had = Counter(slots), Fraction(0), dict.fromkeys(slots, Fraction(0)), Counter()
+    for s in slots:
+        alive = [x for x in left if left[x]]
+        total = sum(weights[x] for x in alive)
+        for x in alive:
+            due[x] += Fraction(weights[x], total)
+        had[s] += 1
+        left[s] -= 1
+        worst = max(worst, *(abs(due[x] - had[x]) for x in alive if left[x]), 0)
+    return worst

@@ -116,17 +116,51 @@ def test_cuts_follow_the_content():
     assert len({x for x in a if x > 80} ^ {x for x in b if x > 80}) == 0 and len(a) > 20
 
 
+def check_mixture(df, block_bytes, **options):
+    """Each block in its window by the target weights, each slot taken at most once."""
+    out = mixing.mix(df, block_bytes=block_bytes, **options).select("__source", "__bytes", "__block", "__slot", "__start").collect()
+    assert len(out) == df.count()
+    size, slots = Counter(), {}
+    for r in out:
+        size[r["__source"]] += r["__bytes"]
+        assert slots.setdefault((r["__source"], r["__block"]), r["__slot"]) == r["__slot"] and r["__start"] // block_bytes == r["__block"]
+    given, other = options.get("weights", mixing.WEIGHTS), options.get("default_weight", mixing.DEFAULT_WEIGHT)
+    weight = {s: given.get(s[1:], other) if s[0] == "=" else other for s in size}
+    blocks = {s: -(-n // block_bytes) for s, n in size.items()}
+    for (s, i), at in slots.items():
+        first, due = brute.window(weight, blocks, s, i)
+        assert first <= at < due
+    assert len(set(slots.values())) == len(slots)
+    return weight, {at: s for (s, _), at in slots.items()}
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 12, 1 << 20])
 def test_mixing(docs, odd, block_bytes):
     for df in (docs, odd):
-        out = mixing.mix(df, block_bytes=block_bytes).collect()
-        assert len(out) == df.count()
-        size = Counter()
-        for r in out:
-            size[r["__source"]] += r["__bytes"]
-        weight = {s: mixing.WEIGHTS.get(s[1:], mixing.DEFAULT_WEIGHT) if s[0] == "=" else mixing.DEFAULT_WEIGHT for s in size}
-        slots = brute.mixture(weight, {s: -(-n // block_bytes) for s, n in size.items()})
-        assert all(slots[r["__source"], r["__block"]] == r["__slot"] and r["__start"] // block_bytes == r["__block"] for r in out)
+        check_mixture(df, block_bytes)
+
+
+def test_mixing_keeps_to_the_target_weights(spark):
+    """Equal supplies: the weights show at every slot, until a source is empty and then for the rest."""
+    rows = [(k, "x" * 63, f"src{k % 4}") for k in range(1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weight, at = check_mixture(df, 64, weights={"src0": 200, "src1": 80, "src2": 20}, default_weight=40)
+    order = [at[k] for k in range(1600)]
+    assert brute.most_deviation(weight, order) < 2  # less than one, and what an ending source was ahead
+    seen = Counter()
+    for k, s in enumerate(order[:600]):  # before the first source is empty
+        seen[s] += 1
+        assert all(abs(seen[x] - (k + 1) * w / 340) < 1 for x, w in weight.items())
+
+
+def test_mixing_many_sources_and_clashing_names(spark):
+    rows = [(k, "y" * (k % 50), f"s{k % 600}") for k in range(3000)]
+    check_mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), 32, weights={"s0": 30, "s1": 7}, default_weight=3)
+    names = ["name", "bytes", "h", "bucket", "buckets", "start", "slot", "block", "c0", "c1", "off", "inside", "__slot", "__start", "_o0"]
+    df = spark.createDataFrame([(1, "a b", "s"), (2, None, None), (2, "", "s")], "doc_id long, text string, source string").selectExpr("*", *[f"7 AS {n}" for n in names])
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns, "__source", "__bytes", "__block", "___slot", "___start"] and out.count() == 3
+    assert Counter(map(str, mixing.mixed_order(df).collect())) == Counter(map(str, df.collect()))
 
 
 def test_mixing_edges(none, docs):
@@ -149,14 +183,53 @@ def test_shards(docs, odd, none):
         counts = [len(slots.get(k, [])) for k in range(24)]
         assert max(counts) - min(counts) <= 1 and all(r.law == "rows" and r.grown_shard is None for r in out)
     assert shard.shard(none).count() == 0
-    same = lambda: sorted((r.shard, r.slot, r.doc_id) for r in shard.shard(docs).collect())
-    assert same() == same()
 
 
-def test_shard_files(spark, docs, tmp_path):
-    shard.write(docs.limit(200), str(tmp_path / "out"), shards=4)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 200 and back.select("shard").distinct().count() == 4
+def test_shards_are_a_function_of_data_and_seed(spark, docs):
+    places = lambda df, seed=1: sorted((r.shard, r.slot, r.doc_id) for r in shard.shard(df, seed=seed).collect())
+    first = places(docs)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert places(docs.repartition(7)) == first
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(a == b for a, b in zip(first, places(docs, 2), strict=True)) < len(first) / 10
+
+
+def test_fisher_yates_equals_a_plain_one(spark):
+    """The fold that shuffles a cell, with the same draws in a plain loop."""
+    rows = spark.range(40).selectExpr("cast(id as int) as n", "id * 7 as bucket", "id * 3 as cell")
+    draws = "transform(sequence(0, n), i -> if(i > 0, cast(pmod(xxhash64(bucket, cell, i, 5L), i + 1) as int), 0))"
+    for r in rows.selectExpr("n", f"{shard._FISHER_YATES.format(seed=5)} as order", f"{draws} as draws").where("n > 0").collect():
+        plain = list(range(r.n))
+        for i in range(r.n - 1, 0, -1):
+            j = r.draws[i]
+            plain[i], plain[j] = plain[j], plain[i]
+        assert r.order == plain
+
+
+def test_shards_scatter_repeated_rows(spark):
+    """One row in most places: its copies go to all shards, and no cell holds them all."""
+    df = spark.range(40).selectExpr("id as doc_id", "concat('t', id) as text").union(spark.range(2000).selectExpr("7L", "'same'")).union(spark.range(70).selectExpr("cast(null as long)", "cast(null as string)"))
+    out = shard.shard(df).collect()
+    found = {}
+    for r in out:
+        found.setdefault(r.shard, []).append((r.slot, r.doc_id))
+    assert len(out) == 2110 and all(sorted(s for s, _ in v) == list(range(len(v))) for v in found.values())
+    same = [sum(i == 7 for _, i in v) for v in found.values()]
+    assert len(same) == 24 and min(same) > 60
+
+
+def test_shard_files(spark, docs, odd, tmp_path):
+    for name, df in (("docs", docs), ("odd", odd.select("doc_id", "text"))):
+        shard.write(df, str(tmp_path / name), shards=4)
+        back = spark.read.parquet(str(tmp_path / name))
+        key = lambda r: (r.doc_id, r.shard, r.slot)
+        assert Counter(map(key, back.collect())) == Counter(map(key, shard.shard(df, 4).collect()))
+        assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r.doc_id, r.text) for r in df.collect())
+    for f in (tmp_path / "docs").glob("shard=*/*.parquet"):
+        slots = [r.slot for r in spark.read.parquet(str(f)).collect()]
+        assert slots == sorted(slots)
 
 
 def test_embeddings(spark):
