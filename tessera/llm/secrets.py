@@ -2,11 +2,13 @@
 
 Three plain formats (assignments, access keys, hex runs) are found by pattern. Then the candidates
 that could hold a key are decoded and must prove their structure before they are reported:
-- base64 or hex runs whose bytes are a DER key: one SEQUENCE of exactly their length, with nested
-  lengths that close everywhere, an INTEGER version or an algorithm OBJECT IDENTIFIER inside;
-- key encodings of length-prefixed strings, the first of which names a key type;
+- base64 or hex runs whose bytes are a DER private key: one SEQUENCE of exactly their length, with nested
+  lengths that close everywhere, and the parts of a private key (a version and its integers, a version and
+  an octet string, an algorithm and an octet string). Public keys and certificates are no secrets;
+- private key encodings of length-prefixed strings: the framed form with its cipher, key count, public and
+  private parts, or a key type followed by more fields than its public half has;
 - armoured private keys, whose body must decode to one of these;
-- signed tokens: two or three base64url parts, the first of which is a JSON object with "alg".
+- signed tokens: three base64url parts, the first of which is a JSON object with an "alg" that signs.
 """
 
 from __future__ import annotations
@@ -27,12 +29,16 @@ _ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that are long enough
 
-_B64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
+_B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")  # either alphabet; then each on its own
+_PARTS = (re.compile(r"[A-Za-z0-9+/]{40,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{40,}={0,2}"))
 _HEXES = re.compile(r"[0-9A-Fa-f]{40,}")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----")
-_KEY_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
+# Key types with the fields of their public halves (the type is one), the frame's name, and
+# the object identifiers of encryption by passphrase.
+_KEY_TYPES = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-": 3}
 _OPENSSH = b"openssh-key-v1\x00"
+_ENCRYPTED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "armour", "der", "sshkey", "signed")
@@ -55,42 +61,92 @@ def _der_item(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (data[at], at2, at2 + size) if at2 + size <= end else None
 
 
+def _items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The DER items that fill data[at:end]; None if they do not."""
+    out = []
+    while at < end:
+        item = _der_item(data, at, end)
+        if not item:
+            return None
+        out.append(item)
+        at = item[2]
+    return out
+
+
+def _closes(data: bytes, items: list[tuple[int, int, int]]) -> bool:
+    """Whether the lengths close in all constructed items, at any depth."""
+    open_ = [x for x in items if x[0] & 0x20]  # a stack, not recursion
+    while open_:
+        _, at, end = open_.pop()
+        inner = _items(data, at, end)
+        if inner is None:
+            return False
+        open_ += [x for x in inner if x[0] & 0x20]
+    return True
+
+
+def _algorithm(data: bytes, item: tuple[int, int, int]) -> bytes | None:
+    """The object identifier that a SEQUENCE begins with."""
+    first = _der_item(data, item[1], item[2]) if item[0] == 0x30 else None
+    return data[first[1] : first[2]] if first and first[0] == 0x06 else None
+
+
 def is_der_key(data: bytes) -> bool:
-    """One SEQUENCE of exactly this length; all nested lengths close; a version or an algorithm inside."""
+    """One SEQUENCE of exactly this length, all lengths closing, of the shape of a private key."""
     top = _der_item(data, 0, len(data))
-    if not top or top[0] != 0x30 or top[2] != len(data):
+    if not top or top[0] != 0x30 or top[2] != len(data) or len(data) < 24:
+        return False
+    items = _items(data, top[1], top[2])
+    if not items or not _closes(data, items):
         return False
-    open_, tags = [(top[1], top[2])], set()
-    while open_:  # a stack, not recursion
-        at, end = open_.pop()
-        while at < end:
-            item = _der_item(data, at, end)
-            if not item:
-                return False
-            tags.add(item[0])
-            if item[0] & 0x20:
-                open_.append(item[1:])
-            at = item[2]
-    return len(data) >= 24 and bool(tags & {0x02, 0x06}) and bool(tags & {0x02, 0x03, 0x04})
+    tags = [x[0] for x in items]
+    if len(items) == 2 and tags[1] == 0x04:  # encrypted: how, and the bytes
+        return (_algorithm(data, items[0]) or b"").startswith(_ENCRYPTED)
+    version = data[items[0][1]] if tags[0] == 0x02 and items[0][2] - items[0][1] == 1 else 9
+    if version > 1 or len(items) < 3 and tags[1:] != [0x04]:
+        return False
+    if all(t == 0x02 for t in tags[:6]) and len(items) >= 6:  # its integers: six, or nine and perhaps further primes
+        return (len(items) == 6 and version == 0) or (len(items) >= 9 and tags[:9] == [0x02] * 9 and tags[9:] in ([], [0x30]))
+    optional = {0xA0, 0xA1, 0x81}
+    if tags[1] == 0x04:  # a number, its curve and point
+        return version == 1 and items[1][2] - items[1][1] >= 16 and set(tags[2:]) <= optional
+    return tags[2] == 0x04 and set(tags[3:]) <= optional and _algorithm(data, items[1]) is not None
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Length-prefixed strings to the end, the first of which names a key type."""
-    if data.startswith(_OPENSSH):
-        data = data[len(_OPENSSH) :]
-        first = int.from_bytes(data[:4], "big")
-        return 0 < first <= 64 and data[4 : 4 + first].isascii() and len(data) > 4 + first
-    at, fields = 0, 0
+def _strings(data: bytes, at: int = 0) -> list[bytes] | None:
+    """The length-prefixed strings that fill data from `at`; None if they do not."""
+    out = []
     while at < len(data):
-        if at + 4 > len(data):
-            return False
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
+            return None
+        out.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+def _public_fields(name: bytes) -> int | None:
+    return next((n for k, n in _KEY_TYPES.items() if name.startswith(k)), None)
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """A framed private key, or a key type with more fields than its public half has."""
+    if data.startswith(_OPENSSH):
+        at, head = len(_OPENSSH), []
+        for _ in range(3):  # cipher, key derivation and its options
+            n = int.from_bytes(data[at : at + 4], "big")
+            head.append(data[at + 4 : at + 4 + n])
+            at += 4 + n
+        keys = int.from_bytes(data[at : at + 4], "big")
+        rest = _strings(data, at + 4) if at + 4 < len(data) else None
+        if not rest or not head[0] or not head[0].isascii() or len(rest) != keys + 1 or not keys:
             return False
-        if not fields and not data[at + 4 : at + 4 + n].startswith(_KEY_TYPES):
-            return False
-        at, fields = at + 4 + n, fields + 1
-    return fields > 1
+        return all((_strings(x) or [b""])[0] and _public_fields((_strings(x) or [b""])[0]) is not None for x in rest[:-1]) and len(rest[-1]) >= 8
+    parts = _strings(data)
+    if not parts:
+        return False
+    public = _public_fields(parts[0])
+    return public is not None and len(parts) > public + (parts[0].startswith(b"ssh-rsa") and 2)
 
 
 def from_base64(s: str) -> bytes | None:
@@ -104,14 +160,15 @@ def from_base64(s: str) -> bytes | None:
 
 
 def is_signed_token(s: str) -> bool:
-    head = from_base64(s.partition(".")[0])
-    if not head:
+    parts = s.split(".")
+    head = from_base64(parts[0])
+    if not head or len(parts) != 3 or not parts[2] or from_base64(parts[1]) is None:
         return False
     try:
         found = json.loads(head)
     except (ValueError, RecursionError):
         return False
-    return isinstance(found, dict) and isinstance(found.get("alg"), str)
+    return isinstance(found, dict) and isinstance(found.get("alg"), str) and found["alg"].lower() not in ("", "none")
 
 
 def _key_kind(data: bytes | None) -> str | None:
@@ -144,9 +201,16 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     for m in _B64.finditer(text):
         if kind := _key_kind(from_base64(m[0])):
             out.append((m.start(), m.end(), kind))
+            continue
+        for part in _PARTS:
+            for x in part.finditer(text, m.start(), m.end()):
+                if x.span() != m.span() and (kind := _key_kind(from_base64(x[0]))):
+                    out.append((*x.span(), kind))
     for m in _HEXES.finditer(text):
-        if kind := _key_kind(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
-            out.append((m.start(), m.end(), kind))
+        for skip in range(1 + len(m[0]) % 2):  # a run of odd length may begin with another digit
+            if kind := _key_kind(bytes.fromhex(m[0][skip : skip + len(m[0]) // 2 * 2])):
+                out.append((m.start(), m.end(), kind))
+                break
     return out
 
 

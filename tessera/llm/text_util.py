@@ -90,10 +90,10 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, offs, "left")
 
 
-def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of buf[s:e] for each span, eight bytes at a time."""
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of buf[s:e] for each span, eight bytes at a time; another one for each seed."""
     size = (ends - starts).astype(np.int64)
-    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    out = mix(size.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) % (1 << 64)))
     if not len(size):
         return out
     wide = np.empty(len(buf) + 8, np.uint8)
@@ -107,7 +107,7 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
             return out
         out[at] = mix(out[at] ^ (lanes[starts[at] + 8 * k] & _MASK[np.minimum(size[at] - 8 * k, 8)]))
     for i in np.flatnonzero(size > 8 * _LANES):
-        out[i] = xxhash.xxh3_64_intdigest(wide[starts[i] : ends[i]].tobytes())
+        out[i] = xxhash.xxh3_64_intdigest(wide[starts[i] : ends[i]].tobytes(), seed)
     return out
 
 
