@@ -116,3 +116,85 @@ def most_deviation(weights, slots):
         left[s] -= 1
         worst = max(worst, *(abs(due[x] - had[x]) for x in alive if left[x]), 0)
     return worst
+
+
+def kneser_ney(counts, symbols):
+    """trigram -> probability: interpolated modified Kneser-Ney from {trigram: count}, by the book."""
+    orders, now = [], dict(counts)
+    for order in (3, 2, 1):
+        c = [0, *(sum(v == k for v in now.values()) for k in (1, 2, 3, 4))]
+        if min(c[1:4]):
+            y = c[1] / (c[1] + 2 * c[2])
+            cut = [0, *(min(max(k - (k + 1) * y * c[k + 1] / c[k], 0.05), k - 0.05) for k in (1, 2, 3))]
+        else:
+            cut = [0, 0.5, 0.5, 0.5]
+        total, held = Counter(), Counter()
+        for g, v in now.items():
+            total[g[:-1]] += v
+            held[g[:-1]] += cut[min(v, 3)]
+        orders.append((now, cut, total, held))
+        if order > 1:
+            now = Counter(g[1:] for g in now)
+
+    def p(g, k=0):
+        if k == 3:
+            return 1 / symbols
+        now, cut, total, held = orders[k]
+        lower, v = p(g[1:], k + 1), now.get(g, 0)
+        return (v - cut[min(v, 3)] + held[g[:-1]] * lower) / total[g[:-1]] if total[g[:-1]] else lower
+
+    return p
+
+
+def shape(word):
+    kind = lambda b: 0 if 97 <= b < 123 or b > 127 else 1 if 65 <= b < 91 else 2 if 48 <= b < 58 else 3
+    b = word.encode()
+    return len(b) > 6, kind(b[0]), kind(b[-1]), any(kind(x) for x in b[1:-1])
+
+
+def perplexities(rows, classes, word_bytes, lang_share):
+    """(words, letters): the log-perplexity of each (lang, text) by both models, None without words."""
+    size = Counter()
+    for lang, text in rows:
+        size[lang] += len((text or "").encode())
+    model = lambda lang: lang if size[lang] and size[lang] * lang_share >= sum(size.values()) else "other"
+    own = Counter()
+    for lang, n in size.items():
+        own[model(lang)] += n
+    texts = [(model(lang), WORD.findall(text or "")) for lang, text in rows]
+    seen = Counter((lang, w) for lang, ws in texts for w in ws)
+    common = {k for k, n in seen.items() if n * word_bytes >= own[k[0]]}
+    token = lambda lang, w: w if (lang, w) in common else shape(w)
+    of_words = lambda lang, ws: [g for t in [[0, 0, *(token(lang, w) for w in ws)]] for g in zip(t, t[1:], t[2:], strict=False)]
+    of_letters = lambda lang, ws: [g for w in ws for t in [[0, 0, *(int(classes[b]) for b in w.encode()), 0]] for g in zip(t, t[1:], t[2:], strict=False)]
+    out = []
+    for grams, symbols in ((of_words, 64 + len(common)), (of_letters, 64)):
+        counts = defaultdict(Counter)
+        for lang, ws in texts:
+            counts[lang].update(grams(lang, ws))
+        models = {lang: kneser_ney(c, symbols) for lang, c in counts.items() if c}
+        log = [[math.log(models[lang](g)) for g in grams(lang, ws)] for lang, ws in texts]
+        out.append([-sum(x) / len(x) if x else None for x in log])
+    return out
+
+
+def band(values, below, above, slack):
+    """The ends of a band, from the quartiles (elements, not between them)."""
+    v = sorted(values)
+    q = [v[max(0, math.ceil(len(v) * p) - 1)] for p in (0.25, 0.75)]
+    return q[0] - below * (q[1] - q[0]) - slack, q[1] + above * (q[1] - q[0]) + slack
+
+
+def verdicts(rows, classes, word_bytes, lang_share, below, above, slack):
+    """(kept, base, low or high) of each (lang, text)."""
+    failed = [n < 50 or 100 * r > 50 * n for n, _, _, _, r in (base_counts(t) for _, t in rows)]
+    found = perplexities(rows, classes, word_bytes, lang_share)
+    bands = {}
+    for lang in {lang for (lang, _), f in zip(rows, failed, strict=True) if not f}:
+        mine = [k for k, (x, _) in enumerate(rows) if x == lang and not failed[k]]
+        bands[lang] = [band([v[k] for k in mine], below, above, s) for v, s in zip(found, (0.0, slack), strict=True)]
+    out = []
+    for k, (lang, _) in enumerate(rows):
+        pairs = [] if failed[k] else [(v[k], *b) for v, b in zip(found, bands[lang], strict=True)]
+        out.append("base" if failed[k] else "low" if any(v < a for v, a, _ in pairs) else "high" if any(v > b for v, _, b in pairs) else "kept")
+    return out, found

@@ -204,25 +204,56 @@ def test_rules_base_counts(docs, odd, none):
     assert perplexity.rules(none).count() == 0
 
 
-def test_rules_bands(spark, docs):
+def test_rules_equal_plain_models(spark, docs, odd, monkeypatch):
+    """Verdicts and perplexities of all rows, by plain counts, plain Kneser-Ney and plain quartiles."""
+    import math
+
+    monkeypatch.setattr(perplexity, "FLUSH_WORDS", 5_000)
+    for df in (both(docs, odd), docs.where("lang = 'de'"), odd):
+        held = df.select("doc_id", "lang", "text").collect()
+        given = [(r.lang, r.text) for r in held]
+        verdict, (words, letters) = brute.verdicts(given, perplexity._CLASS, perplexity.WORD_BYTES, perplexity.LANG_SHARE, perplexity.BELOW, perplexity.ABOVE, perplexity.SLACK)
+        near = lambda x: None if x is None else round(x, 7)
+        log = lambda x: None if x is None else round(math.log(x), 7)
+        expected = counted((r.doc_id, (v, near(a), near(b))) for r, v, a, b in zip(held, verdict, words, letters, strict=True))
+        got = perplexity.rules(df).collect()
+        assert counted((r.doc_id, (r.verdict, log(r.perplexity), log(r.letter_perplexity))) for r in got) == expected
+        assert all(r.kept == (r.verdict == "kept") and r.base_failed == (r.verdict == "base") for r in got)
+
+
+def test_rules_bands(spark, docs, labels):
+    """Planted noise is too high, planted patterns too low (words of one shape too), labelled good texts stay."""
     import random
 
-    rng = random.Random(3)
-    noise = " ".join("".join(chr(rng.randrange(33, 127)) for _ in range(6)) for _ in range(300))
-    df = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(10**6, noise, "en")], "doc_id long, text string, lang string"))
+    rng, rows = random.Random(3), []
+    for k in range(2):
+        rows.append((10**6 + k, " ".join("".join(chr(rng.randrange(33, 127)) for _ in range(6)) for _ in range(300))))
+        rows.append((2 * 10**6 + k, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(300))))
+        words = ["".join(rng.choice("aeionrst") for _ in range(5)) for _ in range(200)]
+        rows.append((3 * 10**6 + k, " | ".join(words)))
+        rows.append((4 * 10**6 + k, " ".join(w + " =" for w in words)))
+    df = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang"))
     got = {r.doc_id: r for r in perplexity.rules(df).collect()}
-    assert not got[10**6].base_failed and not got[10**6].kept
-    good = [r for i, r in got.items() if i < 10**6 and not r.base_failed]
-    assert sum(r.kept for r in good) >= 0.99 * len(good)
+    for i, _ in rows:
+        assert not got[i].kept and not got[i].base_failed
+        assert got[i].verdict == ("high" if i < 2 * 10**6 else "low"), i
+    good = [r.doc_id for r in labels.where("quality = 1").collect() if not got[r.doc_id].base_failed]
+    bad = [r.doc_id for r in labels.where("quality = 0").collect() if not got[r.doc_id].base_failed]
+    assert sum(got[i].kept for i in good) >= 0.98 * len(good)
+    assert sum(not got[i].kept for i in bad) >= 0.8 * len(bad)
 
 
-def test_kneser_ney_sums_to_one():
+def test_kneser_ney_equals_a_plain_one():
     rng = np.random.default_rng(1)
-    key = np.unique(rng.integers(0, 1 << 18, 4000))
-    model = perplexity.Model(key, rng.integers(1, 9, len(key)))
-    for g in key[:5] >> 6:
-        p = np.exp(model.log_probability(np.zeros(64, np.uint64), (np.uint64(g) << np.uint64(6)) | np.arange(64, dtype=np.uint64)))
-        assert abs(p.sum() - 1) < 1e-6 and (p > 0).all()
+    for bits in (6, perplexity.TOKEN_BITS):
+        gram = np.unique(rng.integers(1, 20, (3000, 3)), axis=0)
+        n = np.minimum(rng.geometric(0.4, len(gram)), 9)
+        key = gram[:, 0] << 2 * bits | gram[:, 1] << bits | gram[:, 2]
+        model = perplexity.Model(key, n, bits, 30)
+        plain = brute.kneser_ney({tuple(g): int(c) for g, c in zip(gram.tolist(), n, strict=True)}, 30)
+        asked = rng.integers(1, 25, (500, 3))
+        got = model.log_probability(np.zeros(500, np.uint64), (asked[:, 0] << 2 * bits | asked[:, 1] << bits | asked[:, 2]).astype(np.uint64))
+        assert np.allclose(np.exp(got), [plain(tuple(g)) for g in asked.tolist()])
 
 
 def test_quality_scores(docs, labels, odd, none):
