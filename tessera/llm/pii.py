@@ -1,16 +1,26 @@
 """Personal data by boosted candidates, in DataFrame operations only.
 
-Generators of high recall propose spans, which may overlap: the four base formats before their checks,
-and looser ones (numbers in phone-like groups, spelled-out addresses, identity and account codes).
-Format and context features of each candidate are small integers, so all candidates of a corpus come
-down to a table of feature combinations with counts, of a size fixed by the bins. From this table
-boosted trees are fitted to what the base checks say of base candidates, on one half of the documents;
-the other half sets the score from which the share of confirmed candidates is high enough. The trees
-become one SQL expression. Base spans that pass their checks stay whatever their score; of the rest,
-those above the threshold are added.
+Generators of high recall propose spans, which may overlap: the four base formats before their checks, and
+looser ones (account numbers and dialled numbers inside longer runs, phone-like groups without a country,
+spelled-out addresses, identity and bank codes). What is known of a candidate is its label:
+
+- ip, card, phone: the base check; account: the check digit, and 12 to 19 digits;
+- dial: 9 to 15 digits; not known where more digits follow;
+- number: 7 to 15 digits behind a word such as "phone" or "fax" (which no feature shows);
+- contact: a host with a dot that ends in 2 to 24 letters;
+- code: the remainder of 97 of a bank code, the excluded ranges of an identity number.
+
+Format and context features of each candidate are small integers, so all candidates of a corpus come down
+to a table of feature combinations with counts, of a size fixed by the bins. On one half of the documents
+boosted trees are fitted to the labels; on the other half each kind gets the lowest score from which on
+the share of confirmed candidates is surely high enough (the lower end of its interval). The trees become
+one SQL expression. Base spans that pass their checks stay whatever their score. Of the looser kinds those
+above their threshold are added, but for those whose check digits refute them.
 
 No pattern has a repeated group: nested repeats are turned into plain runs by blanking, in a copy of
 equal length, the separators that cannot belong to a match. So texts of any length need no deep stack.
+Places are running sums in two levels, and what lies inside base spans shows in a running maximum, so the
+work grows with the matches of a text, not with their square.
 """
 
 from __future__ import annotations
@@ -32,36 +42,62 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _OCTETS = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
-NUMBER = _START % "0-9+" + r"\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})?(?:[ .-][0-9]{2,4})?(?![0-9])"
-CONTACT = rf"[{_LOCAL}]{{1,64}}+ ?[\[(] ?at ?[\])] ?[{_DOMAIN}.]{{3,200}}+"
-CODE = _START % "A-Z0-9" + r"(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4} ?[A-Z0-9]{4} ?[A-Z0-9]{4}[A-Z0-9 ]{0,19})(?![A-Z0-9])"
-_CUES = r"(?i)(?:tel|phone|call|fax|mobile|cell|contact|mail|write|card|visa|account|iban|ssn|\bip\b|server|host|address|@|:)\W{0,6}(?:\w{1,8}\W{1,3})?$"
-REACH = 32
-_NONE = "cast(array() as array<struct<b:int,m:string,l:string,k:int>>)"
-
-KINDS = ("email", "ip", "card", "phone", "number", "contact", "code")
+_ALONE = r"(?<![0-9A-Za-z+])"
+ACCOUNT = r"(?<![0-9A-Za-z])(?:[0-9]{12,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4})(?![0-9A-Za-z])"
+DIAL = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
+NUMBER = _ALONE + r"\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})?(?:[ .-][0-9]{2,4})?(?![0-9A-Za-z])"
+CONTACT = rf"[{_LOCAL}]++ ?[\[(] ?at ?[\])] ?[{_DOMAIN}.]*[{_DOMAIN}]"
+CODE = _ALONE + r"(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4} ?[A-Z0-9]{4} ?[A-Z0-9]{4}(?: ?[A-Z0-9]{1,4})?(?: ?[A-Z0-9]{1,4})?(?: ?[A-Z0-9]{1,4})?(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+CUES = r"(?i)(?:tel|phone|call|fax|mobile|cell|whatsapp)\W{0,6}(?:\w{1,8}\W{1,3})?$"
+HOST = r"\.[A-Za-z]{2,24}$"
+_IDENTITY = r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
+REACH, STRIDE = 32, 128
+
+KINDS = ("email", "ip", "card", "phone", "account", "dial", "number", "contact", "code")
 N_BASE = 4
+PATTERNS = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE, ACCOUNT, DIAL, NUMBER, CONTACT, CODE), strict=True))
+#: Kinds whose check, where it fails, refutes a candidate.
+CHECKED = ("ip", "card", "phone", "account", "code")
 #: Features of a candidate and the largest value of each; values are 0 to that.
-BINS = {"kind": len(KINDS) - 1, "digits": 9, "gaps": 5, "letters": 5, "cue": 1, "joined": 1, "line": 1}
-TREES, RATE, MIN_PRECISION = 16, 0.4, 0.98
+BINS = {"kind": len(KINDS) - 1, "digits": 9, "gaps": 5, "letters": 5, "lead": 10, "before": 2, "after": 2, "line": 1}
+TREES, RATE, MIN_PRECISION = 24, 0.4, 0.85
 
 
-def _pieces(t: Column, pattern: str, kind: int) -> Column:
-    """[(b, m, before, kind)]: end and text of each leftmost match, and the REACH characters before it.
+def _running(values: Column, step: str) -> Column:
+    """The running sum or maximum (`step` of a and x) of an array of longs, itself included, in two levels."""
+    out = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STRIDE).cast("int")),
+        lambda q: F.slice(values, q * STRIDE + 1, F.lit(STRIDE)),
+    )
+    add = (lambda a, x: a + x) if step == "sum" else F.greatest
+    zero = F.struct(F.lit(0 if step == "sum" else -1).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
 
-    A piece is a match with all that stands between it and the one before.
-    """
+    def grow(s: Column, x: Column) -> Column:
+        now = add(s["at"], x)
+        return F.struct(now.alias("at"), F.concat(s["out"], F.array(now)).alias("out"))
+
+    inner = F.transform(out, lambda part: F.aggregate(part, zero, grow, lambda s: s["out"]))
+    tops = F.aggregate(inner, zero, lambda s, x: F.struct(add(s["at"], F.element_at(x, -1)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+    whole = F.flatten(F.zip_with(inner, tops, lambda x, top: F.transform(x, lambda v: add(v, top))))
+    return F.when(F.size(values) > 0, whole).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def _pieces(t: Column, pattern: str) -> Column:
+    r"""Each leftmost match with all that stands between it and the one before."""
     # \G: the search for a piece begins where the last one ended, and nowhere else
-    pieces = F.regexp_extract_all(t, F.lit(rf"\G(?s).*?(?:{pattern})"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.expr(_NONE).alias("out"))
+    return F.regexp_extract_all(t, F.lit(rf"\G(?s).*?(?:{pattern})"), F.lit(0))
+
 
-    def step(s: Column, p: Column) -> Column:
-        end = s["at"] + F.length(p)
+def _matches(pieces: Column, ends: Column, t: Column, pattern: str) -> Column:
+    """[(b, m, l, n)]: end and text of each match, the REACH characters before it and itself, and what follows it."""
+    behind = F.concat(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), F.array(F.substr(t, F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)).cast("int") + 1, F.lit(2))))
+    behind = F.transform(behind, lambda x: F.left(x, F.lit(2)))
+
+    def one(p: Column, i: Column) -> Column:
         m = F.regexp_extract(p, pattern, 0)
-        one = F.struct(end.alias("b"), m.alias("m"), F.right(p, F.length(m) + REACH).alias("l"), F.lit(kind).alias("k"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+        return F.struct(ends[i].alias("b"), m.alias("m"), F.right(p, F.length(m) + REACH).alias("l"), behind[i].alias("n"))
 
-    return F.aggregate(pieces, zero, step, lambda s: s["out"])
+    return F.transform(pieces, one)
 
 
 def _luhn(digits: Column) -> Column:
@@ -72,54 +108,82 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add) % 10 == 0
 
 
-def _valid(m: Column, k: Column) -> Column:
-    """Whether a base candidate passes its check."""
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    card = F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(F.lit(False))
-    return (
-        F.when(k == 0, F.lit(True))
-        .when(k == 1, m.rlike(_OCTETS))
-        .when(k == 2, card)
-        .when(k == 3, F.length(digits).between(9, 15))
-        .otherwise(F.lit(False))
-    )
+def _bank(code: Column) -> Column:
+    """Whether the remainder of 97 of a bank code is 1."""
+    flat = F.regexp_replace(code, " ", "")
+    turned = F.concat(F.substring(flat, 5, 64), F.left(flat, F.lit(4)))
+
+    def step(a: Column, i: Column) -> Column:
+        v = F.ascii(F.substr(turned, i, F.lit(1)))
+        digit = F.when(v < 65, v - 48).otherwise(v - 55)
+        return (a * F.when(v < 65, 10).otherwise(100) + digit) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
 
 
-def _features(c: Column) -> list[Column]:
+def _label(c: Column, kind: str) -> Column:
+    """What is known of a candidate: confirmed or not, null where nothing is."""
+    m, no = c["m"], F.lit(False)
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    if kind in ("card", "account"):
+        return F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(no)
+    if kind == "dial":
+        return F.when(~c["n"].rlike(r"^[ .-]?[0-9]"), F.length(digits).between(9, 15))
+    if kind == "number":
+        return F.length(digits).between(7, 15) & F.left(c["l"], F.length(c["l"]) - F.length(m)).rlike(CUES)
+    return {
+        "email": F.lit(True),
+        "ip": m.rlike(_OCTETS),
+        "phone": F.length(digits).between(9, 15),
+        "contact": m.rlike(HOST),
+        "code": F.when(m.rlike("^[0-9]"), m.rlike(_IDENTITY)).otherwise(_bank(m)),
+    }[kind]
+
+
+def _features(c: Column, kind: int) -> list[Column]:
     before = F.left(c["l"], F.length(c["l"]) - F.length(c["m"]))
     count = lambda cls: F.length(c["m"]) - F.length(F.regexp_replace(c["m"], cls, ""))
+    lead = F.regexp_extract(c["m"], "[0-9]", 0)
     bins = [
-        c["k"],
+        F.lit(kind),
         F.when(count("[0-9]") < 4, 0).otherwise(F.least(F.floor((count("[0-9]") - 2) / 2), F.lit(9))),
         F.least(count("[^A-Za-z0-9]"), F.lit(5)),
         F.least(F.ceil(count("[A-Za-z]") / 4), F.lit(5)),
-        before.rlike(_CUES).cast("int"),
-        before.rlike("[A-Za-z0-9]$").cast("int"),
+        F.when(lead == "", 10).otherwise(lead.cast("int")),
+        F.when(before.rlike("[A-Za-z0-9]$"), 1).when(before.rlike(r"[^\x20\x0A]$"), 2).otherwise(0),
+        F.when(c["n"].rlike(r"^[ .-]?[0-9]"), 1).when(c["n"].rlike(r"^[^\x20\x0A]"), 2).otherwise(0) if kind != KINDS.index("dial") else F.lit(0),
         c["m"].contains("\n").cast("int"),
     ]
     return [F.coalesce(x.cast("int"), F.lit(0)).alias(n) for n, x in zip(BINS, bins, strict=True)]
 
 
 def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, half, cands): each candidate with its place, features and check, of each row."""
+    """(doc_id, half, cands): each candidate of each row with its place, its label and its features."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    none = F.expr(_NONE)
     digits = F.col("t").rlike(r"[0-9][\x20.-]?[0-9]")
     mails = F.regexp_replace("t", rf"\.(?![{_DOMAIN}])", "_")
     cards = F.regexp_replace("t", r"[\x20-](?![0-9])|(?<![0-9])[\x20-]", "_")
-    found = [
-        F.when(F.contains("t", F.lit("@")), _pieces(mails, EMAIL, 0)),
-        F.when(digits, _pieces(F.col("t"), IP, 1)),
-        F.when(digits, _pieces(cards, CARD, 2)),
-        F.when(F.contains("t", F.lit("+")), _pieces(F.col("t"), PHONE, 3)),
-        F.when(digits, _pieces(F.col("t"), NUMBER, 4)),
-        F.when(F.col("t").rlike(r"[\[(] ?at ?[\])]"), _pieces(F.col("t"), CONTACT, 5)),
-        F.when(digits, _pieces(F.col("t"), CODE, 6)),
-    ]
+    asked = {
+        "email": (F.contains("t", F.lit("@")), mails),
+        "card": (digits, cards),
+        "phone": (F.contains("t", F.lit("+")), F.col("t")),
+        "dial": (F.contains("t", F.lit("+")), F.col("t")),
+        "contact": (F.col("t").rlike(r"[\[(] ?at ?[\])]"), F.col("t")),
+    }
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("t"))
-    rows = rows.select("doc_id", "t", F.concat(*[F.coalesce(f, none) for f in found]).alias("cs"))
-    one = lambda c: F.struct((c["b"] - F.length(c["m"])).alias("a"), c["b"].alias("b"), _valid(c["m"], c["k"]).alias("ok"), *_features(c))
-    return rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), F.transform("cs", one).alias("cands"))
+    none = F.expr("cast(array() as array<string>)")
+    pieces = [F.coalesce(F.when(asked.get(k, (digits,))[0], _pieces(asked.get(k, (0, F.col("t")))[1], p)), none).alias(f"p_{k}") for k, p in PATTERNS.items()]
+    rows = rows.select("doc_id", "t", *pieces)
+    ends = [_running(F.transform(f"p_{k}", lambda p: F.length(p).cast("long")), "sum").alias(f"e_{k}") for k in KINDS]
+    rows = rows.select("*", *ends)
+
+    def found(k: str, nth: int) -> Column:
+        one = lambda c: F.struct((c["b"] - F.length(c["m"])).alias("a"), c["b"].alias("b"), _label(c, k).alias("ok"), *_features(c, nth))
+        return F.transform(_matches(F.col(f"p_{k}"), F.col(f"e_{k}"), F.col("t"), PATTERNS[k]), one)
+
+    # the places of blanked copies are those of the text, and so are their digits
+    every = F.concat(*[found(k, nth) for nth, k in enumerate(KINDS)])
+    return rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), every.alias("cands"))
 
 
 def _tree(rows: list[tuple], grad: list[float], hess: list[float], depth: int) -> float | tuple:
@@ -177,19 +241,27 @@ def fit(combos: list[tuple[tuple, float, float]]) -> list:
     return trees
 
 
-def threshold(trees: list, combos: list[tuple[tuple, float, float]], least: float = MIN_PRECISION) -> float:
-    """The lowest score from which on the confirmed share of held-out candidates is high enough; infinity if none."""
-    scored = sorted(((sum(_apply(t, r) for t in trees), good, n) for r, good, n in combos), reverse=True)
-    at, good, n = math.inf, 0.0, 0.0
-    for k, (s, g, m) in enumerate(scored):
-        good, n = good + g, n + m
-        if (k + 1 == len(scored) or scored[k + 1][0] < s) and good >= least * n:
-            at = s
-    return at
+def _surely(good: float, n: float) -> float:
+    """The lower end of the interval of a share (Wilson, one standard error)."""
+    p = good / n
+    return (p + 0.5 / n - math.sqrt(p * (1 - p) / n + 0.25 / n / n)) / (1 + 1 / n)
+
+
+def thresholds(trees: list, combos: list[tuple[tuple, float, float]], least: float = MIN_PRECISION) -> dict[int, float]:
+    """kind -> the lowest score from which on its held-out candidates are surely confirmed often enough; kinds without one are left out."""
+    out = {}
+    for kind in range(N_BASE, len(KINDS)):
+        scored = sorted(((sum(_apply(t, r) for t in trees), good, n) for r, good, n in combos if r[0] == kind), reverse=True)
+        good, n = 0.0, 0.0
+        for k, (s, g, m) in enumerate(scored):
+            good, n = good + g, n + m
+            if (k + 1 == len(scored) or scored[k + 1][0] < s) and _surely(good, n) >= least:
+                out[kind] = s
+    return out
 
 
 def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, n_added, base_sha256, spans.
+    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, n_added, n_spans, base_sha256, spans.
 
     Spans are kind:start:end in code points, the end exclusive, by start and then kind as in KINDS. A
     null text counts as empty (no spans, the hash of nothing). An added span lies in no base span. Where
@@ -198,26 +270,35 @@ def detect(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """
     stage = Stage(docs.sparkSession, "pii")
     found = stage.save(candidates(docs, text, doc_id), "candidates")
-    table = found.where(F.size("cands") > 0).select("half", F.inline("cands")).where(F.col("kind") < N_BASE)
+    table = found.where(F.size("cands") > 0).select("half", F.inline("cands")).where("kind > 0 and ok is not null")
     table = table.groupBy("half", *BINS).agg(F.sum(F.col("ok").cast("long")).alias("good"), F.count("*").alias("n")).collect()
     halves = [[(tuple(r[f] for f in BINS), float(r["good"]), float(r["n"])) for r in table if r["half"] == h] for h in (0, 1)]
     trees = fit(sorted(halves[0]))
-    least = threshold(trees, halves[1]) if trees else math.inf
-    base = F.filter("cands", lambda c: c["ok"] & (c["kind"] < N_BASE))
-    if least < math.inf:
+    least = thresholds(trees, halves[1]) if trees else {}
+    base = F.filter("cands", lambda c: F.coalesce(c["ok"], F.lit(False)) & (c["kind"] < N_BASE))
+    out = found.withColumn("base", base)
+    if least:
         score = " + ".join(_sql(t, "c") for t in trees)
-        more = F.expr(f"filter(cands, c -> NOT c.ok AND {score} >= {least - 1e-6:.9f}D AND NOT exists(base, x -> x.a <= c.a AND c.b <= x.b))")
+        checked = ", ".join(str(KINDS.index(k)) for k in CHECKED)
+        limit = "CASE c.kind " + " ".join(f"WHEN {k} THEN {x - 1e-6:.9f}D" for k, x in least.items()) + " END"
+        loose = F.expr(f"filter(cands, c -> c.kind IN ({', '.join(map(str, least))}) AND NOT (c.kind IN ({checked}) AND NOT c.ok) AND {score} >= {limit})")
+        # by start, base spans first: a span is inside one if a base span before it ends no earlier
+        place = lambda s, first: F.transform(s, lambda c: F.struct(c["a"].alias("a"), F.lit(first).alias("o"), c["b"].alias("b"), c["kind"].alias("kind")))
+        out = out.withColumn("line", F.array_sort(F.concat(place("base", 0), place(F.array_distinct(loose), 1))))
+        out = out.withColumn("reach", _running(F.transform("line", lambda c: F.when(c["o"] == 0, c["b"]).otherwise(F.lit(-1).cast("long"))), "max"))
+        out = out.withColumn("more", F.filter("line", lambda c, i: (c["o"] == 1) & (F.col("reach")[i] < c["b"])))
+        out = out.withColumn("more", F.transform("more", lambda c: F.struct(c["a"].alias("a"), c["kind"].alias("kind"), c["b"].alias("b"))))
     else:
-        more = F.filter("cands", lambda c: F.lit(False))
-    short = lambda c: F.struct(c["a"], c["kind"], c["b"])
+        out = out.withColumn("more", F.expr("cast(array() as array<struct<a:bigint,kind:int,b:bigint>>)"))
+    out = out.withColumn("base", F.transform("base", lambda c: F.struct(c["a"].alias("a"), c["kind"].alias("kind"), c["b"].alias("b"))))
     names = F.array(*map(F.lit, KINDS))
-    joined = lambda s: F.array_join(F.transform(F.array_sort(F.transform(s, short)), lambda c: F.concat_ws(":", names[c["kind"]], c["a"].cast("string"), c["b"].cast("string"))), ",")
-    out = found.withColumn("base", base).withColumn("more", F.array_distinct(more))
+    joined = lambda s: F.array_join(F.transform(F.array_sort(s), lambda c: F.concat_ws(":", names[c["kind"]], c["a"].cast("string"), c["b"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda c: c["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return out.select(
         "doc_id",
         *[count(k) for k in range(N_BASE)],
         F.size("more").cast("long").alias("n_added"),
-        F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
+        (F.size("base") + F.size("more")).cast("long").alias("n_spans"),
+        F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         joined(F.concat("base", "more")).alias("spans"),
     )

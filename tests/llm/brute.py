@@ -198,3 +198,53 @@ def verdicts(rows, classes, word_bytes, lang_share, below, above, slack):
         pairs = [] if failed[k] else [(v[k], *b) for v, b in zip(found, bands[lang], strict=True)]
         out.append("base" if failed[k] else "low" if any(v < a for v, a, _ in pairs) else "high" if any(v > b for v, _, b in pairs) else "kept")
     return out, found
+
+
+def bank(code):
+    flat = code.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
+def label(kind, m, before, after, host, cues, identity):
+    digits = re.sub("[^0-9]", "", m)
+    if kind == "account":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    if kind == "dial":
+        return None if re.match("[ .-]?[0-9]", after) else 9 <= len(digits) <= 15
+    if kind == "number":
+        return 7 <= len(digits) <= 15 and bool(re.search(cues, before, re.A))
+    if kind == "contact":
+        return bool(re.search(host, m))
+    if kind == "code":
+        return bool(re.search(identity, m)) if m[0].isdigit() else bank(m)
+    return pii_ok(kind, m)
+
+
+def features(nth, kind, m, before, after):
+    digits, other, letters = (len(re.findall(c, m)) for c in ("[0-9]", "[^A-Za-z0-9]", "[A-Za-z]"))
+    lead = re.search("[0-9]", m)
+    return (
+        nth,
+        0 if digits < 4 else min((digits - 2) // 2, 9),
+        min(other, 5),
+        min(-(-letters // 4), 5),
+        int(lead[0]) if lead else 10,
+        1 if re.search(r"[A-Za-z0-9]\Z", before) else 2 if re.search(r"[^\x20\x0A]\Z", before) else 0,
+        0 if kind == "dial" else 1 if re.match(r"[ .-]?[0-9]", after) else 2 if re.match(r"[^\x20\x0A]", after) else 0,
+        int("\n" in m),
+    )
+
+
+def pii_candidates(text, pii_module):
+    """(kind, start, end, label, features) of each candidate of a text."""
+    text, out = text or "", []
+    for nth, kind in enumerate(pii_module.KINDS):
+        last = 0
+        for m in re.finditer(PII.get(kind) or pii_module.PATTERNS[kind], text):
+            if kind == "card" and len(m[0]) < 12:
+                continue
+            before, after = text[last : m.start()][-pii_module.REACH :], text[m.end() : m.end() + 2]
+            known = label(kind, m[0], before, after, pii_module.HOST, pii_module.CUES, pii_module._IDENTITY)
+            out.append((kind, m.start(), m.end(), known, features(nth, kind, m[0], before, after)))
+            last = m.end()
+    return out

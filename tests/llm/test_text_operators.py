@@ -5,6 +5,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, perplexity, pii, quality, secrets
 from tessera.llm.queries import vocabulary_path
@@ -67,7 +68,7 @@ def test_pii_base_spans(docs, odd, none):
     held = Counter()
     for r in got:
         held[r.doc_id, r.base_sha256] += 1
-        assert r.n_added == len([s for s in r.spans.split(",") if s]) - r.n_email - r.n_ip - r.n_card - r.n_phone
+        assert r.n_spans == len([s for s in r.spans.split(",") if s]) and r.n_added == r.n_spans - r.n_email - r.n_ip - r.n_card - r.n_phone
     by = {(i, brute.sha(s)): set(s) for i, s in expected}
     assert all(by[r.doc_id, r.base_sha256] <= set(r.spans.split(",")) for r in got)
     assert pii.detect(none).count() == 0
@@ -82,14 +83,89 @@ def test_pii_hard_formats(spark, text):
     assert pii.detect(df).first().base_sha256 == brute.sha(brute.pii(text))
 
 
+def planted_personal_data(rng):
+    """(doc_id, text): data that the base formats miss, beside much that only looks like it."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = "4" + digits(14)
+        return next(d + x for x in "0123456789" if brute.luhn(d + x))
+
+    def code():
+        body = f"{rng.randrange(100):02d}{digits(16)}"
+        return next(x for x in (f"DE{k:02d}{body}" for k in range(100)) if brute.bank(x))
+
+    rows, plain = [], "and so it went on for a while"
+    for k in range(600):
+        phone = f"+1 ({digits(3)}) 555-{digits(4)}"
+        text = [
+            f"{plain} {card()} {plain} {digits(16)} x",
+            f"{plain} {phone} then",
+            f"call {digits(3)}-{digits(3)}-{digits(4)} now" if k % 20 else f"seen {digits(3)}-{digits(3)}-{digits(4)} there",
+            f"write {rng.choice('abc')}{digits(2)} [at] mail{digits(1)}.example.org today",
+            f"bank {code() if k % 12 else 'DE' + digits(20)} and id {rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)} here",
+        ][k % 5]
+        rows.append((k, text))
+    rows += [(1000, f"two {card()} {card()} cards"), (1001, "far +1 (212) 555-0101 10.20.30.40 off"), (1002, "é🎉 " + rows[3][1]), (1003, "12 " * 3000 + card()), (1004, None), (1005, "")]
+    return rows
+
+
+def test_pii_added_spans_equal_a_plain_version(spark):
+    """Candidates, labels and features by plain loops; the same trees and thresholds; the spans added in the end."""
+    import random
+
+    df = spark.createDataFrame(planted_personal_data(random.Random(2)), "doc_id long, text string")
+    half = {r.doc_id: r.h for r in df.selectExpr("doc_id", "pmod(xxhash64(doc_id), 2) AS h").collect()}
+    found = {i: brute.pii_candidates(t, pii) for i, t in rows(df)}
+    table = [Counter(), Counter()], [Counter(), Counter()]
+    for i, cands in found.items():
+        for kind, _, _, known, f in cands:
+            if kind != "email" and known is not None:
+                table[half[i]][0][f] += known
+                table[half[i]][1][f] += 1
+    halves = [[(f, float(good[f]), float(n[f])) for f in n] for good, n in table]
+    trees = pii.fit(sorted(halves[0]))
+    least = pii.thresholds(trees, halves[1])
+    kinds = {pii.KINDS[k] for k in least}
+    assert kinds == {"account", "dial", "number", "contact", "code"}
+    got = {r.doc_id: r for r in pii.detect(df).collect()}
+    added = Counter()
+    for i, cands in found.items():
+        base = {(a, b, k) for k, a, b, known, _ in cands if k in brute.PII and known}
+        more = set()
+        for kind, a, b, known, f in cands:
+            over = kind in kinds and sum(pii._apply(t, f) for t in trees) >= least[f[0]] - 1e-6
+            if over and not (known is False and kind in pii.CHECKED) and not any(x <= a and b <= y for x, y, _ in base):
+                more.add((a, b, kind))
+        spans = sorted(base | more, key=lambda s: (s[0], pii.KINDS.index(s[2]), s[1]))
+        assert got[i].spans == ",".join(f"{k}:{a}:{b}" for a, b, k in spans), i
+        assert got[i].n_added == len(more) and got[i].n_spans == len(spans)
+        added.update(k for _, _, k in more)
+    assert added["account"] >= 2 and added["dial"] == 1 and min(added["number"], added["contact"], added["code"]) > 100
+    assert "account:4:20" in got[1000].spans and "dial:4:21" in got[1001].spans
+
+
+def test_pii_running_values(spark):
+    import random
+
+    rng = random.Random(1)
+    rows_in = [(k, [rng.randrange(100) for _ in range(n)]) for k, n in enumerate((0, 1, 2, 127, 128, 129, 1000))]
+    df = spark.createDataFrame(rows_in, "id long, v array<bigint>")
+    out = df.select("id", pii._running(F.col("v"), "sum").alias("s"), pii._running(F.col("v"), "max").alias("m")).collect()
+    for r in out:
+        v = rows_in[r.id][1]
+        assert r.s == [sum(v[: k + 1]) for k in range(len(v))] and r.m == [max(v[: k + 1]) for k in range(len(v))]
+
+
 def test_pii_trees_learn_and_calibrate():
-    good = [((3, d, 2, 0, cue, 0, 0), 9.0 if cue else 1.0, 10.0) for d in range(10) for cue in (0, 1)]
+    feature = lambda d, before: (6, d, 2, 0, 4, before, 0, 0)
+    good = [(feature(d, b), 90.0 if b else 10.0, 100.0) for d in range(10) for b in (0, 1)]
     trees = pii.fit(good)
     score = lambda f: sum(pii._apply(t, f) for t in trees)
-    assert score((3, 5, 2, 0, 1, 0, 0)) > 0 > score((3, 5, 2, 0, 0, 0, 0))
-    least = pii.threshold(trees, good, 0.85)
-    assert score((3, 5, 2, 0, 1, 0, 0)) >= least > score((3, 5, 2, 0, 0, 0, 0))
-    assert pii.threshold(trees, good, 0.99) == float("inf") and pii.fit([]) == []
+    assert score(feature(5, 1)) > 0 > score(feature(5, 0))
+    least = pii.thresholds(trees, good, 0.85)
+    assert score(feature(5, 1)) >= least[6] > score(feature(5, 0))
+    assert pii.thresholds(trees, good, 0.99) == {} and pii.fit([]) == []
 
 
 def test_secrets(docs, odd, none):
