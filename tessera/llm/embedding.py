@@ -1,18 +1,21 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
 1. Equal vectors form a class with a weight; only classes are compared.
-2. Classes go to the shards of their nearest OVERLAP centroids, which k-means fits on a bounded sample.
-   A shard of more than SHARD_MOST classes is cut into blocks, and each two of its blocks meet in a
-   group of their own, so no group outgrows a task.
-3. Each block builds a graph: candidates by similarity, robust pruning to DEGREE edges, both ways.
+2. Classes go to the shards of their nearest `overlap` centroids; the nearest one is their home. k-means
+   fits the centroids, whose number follows the table, on a bounded sample; many of them are found through
+   a second level. A shard of more than SHARD_MOST classes is cut into blocks, so no group outgrows a task.
+3. Each block builds a graph. Candidate neighbours come from the cells of about sqrt(n) pivots, CELLS for
+   each class, never from all pairs of the block; they are pruned robustly to DEGREE edges, taken both ways.
    The adjacency lists that a class got in all its shards are united.
-4. In each group every class is a query: a greedy beam search from the block's medoid, then the search
+4. Every class is a query in its home shard: a greedy beam search from the block's medoid, then the search
    expands its range, from node to node, as long as nodes lie within SLACK of the threshold.
-5. Similarities are those of double precision on the whole vectors, so each link found is verified. A
-   pair that shares several shards is counted in the first of them only. Groups send one row a class, a
-   partial count and the root of its component there; no list of pairs leaves a group.
+5. Similarities are those of double precision on the whole vectors, so each link found is verified. Each
+   pair has one group that answers for it, found by a rule on homes, shards and blocks; what is found there
+   counts for both and joins both, what another group finds does not, so counts and components agree.
+   Groups send one row a class, a partial count and the root of its component there; no list of pairs.
 6. Recall is audited against brute force, for a bounded sample of classes against all; below AUDIT_LEAST
-   the search runs again with more overlap.
+   the search runs again with twice the overlap, in the end with every class in every shard. A recall
+   below RECALL_LEAST even then is an error.
 """
 
 from __future__ import annotations
@@ -22,36 +25,37 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_util import Stage, connected_components
 
 THRESHOLD = 0.9
-SHARD_SIZE, SHARD_MOST, CENTROIDS_MOST = 1024, 6000, 2048
-SAMPLE, AUDIT, AUDIT_LEAST, ROUNDS = 20_000, 256, 0.97, 3
-OVERLAP, DEGREE, CANDIDATES, ALPHA = 3, 24, 64, 1.2
+#: Classes of a shard on average and at most, and centroids at most (their broadcast has that bound).
+SHARD_SIZE, SHARD_MOST, CENTROIDS_MOST, FLAT_MOST, TOPS = 1024, 6000, 65_536, 2048, 6
+#: Sampled vectors for each centroid, least and most of them; audited classes; least recall to stop at and to give.
+SAMPLE, SAMPLE_LEAST, SAMPLE_MOST = 64, 4096, 131_072
+AUDIT, AUDIT_LEAST, RECALL_LEAST = 256, 0.97, 0.9
+OVERLAP, CELLS, DEGREE, CANDIDATES, ALPHA = 3, 3, 24, 48, 1.2
 BEAM, SLACK, QUERIES = 12, 0.08, 256
 SEED = 20_270
 
 
-def _unit(batch_col: pa.Array, dim: int) -> list[bytes | None]:
-    """Unit vectors in double precision as bytes; None for those that link with nothing."""
-    out = []
-    for v in batch_col.to_pylist():
-        if v is None or any(x is None for x in v):
-            out.append(None)
-            continue
-        x = np.zeros(dim)
-        x[: len(v)] = v
-        with np.errstate(over="ignore", invalid="ignore"):
-            top = np.abs(x).max(initial=0)
-            ok = np.isfinite(top) and top > 0
-            if ok:
-                x /= top  # no overflow or underflow of squares
-                x /= np.sqrt(x @ x)
-        out.append(x.tobytes() if ok else None)
-    return out
+def _unit(col: pa.Array, dim: int) -> pa.Array:
+    """Unit vectors in double precision as bytes; null for those that link with nothing. Short ones are padded with zeros."""
+    col = col.cast(pa.large_list(pa.float64()))
+    size = pc.fill_null(pc.list_value_length(col), 0).to_numpy()
+    value = pc.fill_null(col.flatten(), float("nan")).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(size)), size)
+    x = np.zeros((len(size), dim))
+    x[row, np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)] = value
+    with np.errstate(all="ignore"):
+        top = np.abs(x).max(1, initial=0)
+        ok = np.isfinite(top) & (top > 0)
+        x[ok] /= top[ok, None]  # no overflow or underflow of squares
+        x[ok] /= np.sqrt(np.einsum("ij,ij->i", x[ok], x[ok]))[:, None]
+    return pa.array([v.tobytes() if k else None for v, k in zip(x, ok, strict=True)], pa.binary())
 
 
 def _matrix(vectors, dim: int) -> np.ndarray:
@@ -70,87 +74,175 @@ def _centroids(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def robust_prune(x: np.ndarray, sims: np.ndarray, cand: np.ndarray) -> np.ndarray:
-    """Of candidates sorted by similarity, those not closer (by ALPHA) to one kept before than to the point."""
-    dist = np.sqrt(np.maximum(2 - 2 * sims, 0))
-    among = np.sqrt(np.maximum(2 - 2 * (x[cand] @ x[cand].T), 0))
-    alive, kept = np.ones(len(cand), bool), []
-    for k in range(len(cand)):
-        if alive[k]:
-            kept.append(k)
-            if len(kept) == DEGREE:
-                break
-            alive &= ALPHA * among[k] > dist
-    return cand[kept]
+class Centres:
+    """Centroids, with a level of tops above them where they are many."""
+
+    def __init__(self, x: np.ndarray, k: int):
+        self.c = _centroids(x, k)
+        self.tops = self.own = None
+        if len(self.c) > FLAT_MOST:
+            self.tops = _centroids(self.c, int(np.sqrt(len(self.c))))
+            self.own = np.concatenate([(self.c[i : i + 2048] @ self.tops.T).argmax(1) for i in range(0, len(self.c), 2048)])
+
+    def nearest(self, x: np.ndarray, most: int) -> np.ndarray:
+        """For each row the indexes of the `most` nearest centroids (all, if they are fewer), nearest first."""
+        most = min(most, len(self.c))
+        if self.tops is None or most > FLAT_MOST:
+            s = x @ self.c.T
+            near = np.argpartition(-s, most - 1, axis=1)[:, :most]
+            return np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
+        tops = np.argpartition(-(x @ self.tops.T), TOPS - 1, axis=1)[:, : max(TOPS, 2 * most)]
+        rows, ids, sims = [], [], []
+        for t in np.unique(tops):
+            mine, below = np.flatnonzero((tops == t).any(1)), np.flatnonzero(self.own == t)
+            if len(below):
+                s = x[mine] @ self.c[below].T
+                rows.append(np.repeat(mine, len(below)))
+                ids.append(np.tile(below, len(mine)))
+                sims.append(s.ravel())
+        rows, ids, sims = np.concatenate(rows), np.concatenate(ids), np.concatenate(sims)
+        order = np.lexsort((ids, -sims, rows))
+        rows, ids = rows[order], ids[order]
+        first = np.searchsorted(rows, np.arange(len(x)))
+        count = np.diff(np.append(first, len(rows)))
+        return ids[first[:, None] + np.minimum(np.arange(most), np.maximum(count - 1, 0)[:, None])]
 
 
-def build_graph(x: np.ndarray) -> list[np.ndarray]:
-    """Pruned neighbours of each row, edges in both ways."""
+def robust_prune(x: np.ndarray, sims: np.ndarray, cand: np.ndarray) -> np.ndarray:
+    """For each row of candidates (sorted by similarity, -1 for none) which stay: those not closer (by ALPHA) to
+    one kept before than to the point, at most DEGREE."""
+    v = x[np.maximum(cand, 0)]
+    dist = np.sqrt(np.maximum(2 - 2 * sims, 0))
+    among = np.sqrt(np.maximum(2 - 2 * (v @ v.transpose(0, 2, 1)), 0))
+    alive = cand >= 0
+    kept, count = np.zeros(cand.shape, bool), np.zeros(len(cand), np.int64)
+    for k in range(cand.shape[1]):
+        take = alive[:, k] & (count < DEGREE)
+        kept[:, k] = take
+        count += take
+        alive &= ~take[:, None] | (ALPHA * among[:, k, :] > dist)
+    return kept
+
+
+def _candidates(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other, similarity): near rows that share a cell, the CANDIDATES best of each of a row's cells."""
+    n = len(x)
+    rng = np.random.default_rng(SEED)
+    pivots = x[rng.choice(n, max(1, min(n, int(np.ceil(np.sqrt(n))))), replace=False)]
+    most = min(CELLS, len(pivots))
+    cell = np.concatenate([np.argpartition(-(x[k : k + 4096] @ pivots.T), most - 1, axis=1)[:, :most] for k in range(0, n, 4096)])
+    out = []
+    for c in range(len(pivots)):
+        mine = np.flatnonzero((cell == c).any(1))
+        best = min(CANDIDATES, len(mine) - 1)
+        for lo in range(0, len(mine), 512) if best > 0 else ():
+            s = x[mine[lo : lo + 512]] @ x[mine].T
+            s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -9
+            near = np.argpartition(-s, best - 1, axis=1)[:, :best]
+            out.append((np.repeat(mine[lo : lo + 512], best), mine[near].ravel(), np.take_along_axis(s, near, 1).ravel()))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def build_graph(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) in both ways of the robust-pruned graph."""
     n = len(x)
-    most = min(CANDIDATES, n - 1)
-    out: list[list[int]] = [[] for _ in range(n)]
-    for lo in range(0, n, 512) if most else ():
-        s = x[lo : lo + 512] @ x.T
-        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -9
-        near = np.argpartition(-s, most - 1, axis=1)[:, :most]
-        for i in range(len(s)):
-            own = s[i, near[i]]
-            order = np.lexsort((near[i], -own))
-            for j in robust_prune(x, own[order], near[i][order]):
-                out[lo + i].append(int(j))
-                out[int(j)].append(lo + i)
-    return [np.unique(np.array(v, np.int64)) for v in out]
+    row, other, sim = _candidates(x)
+    _, first = np.unique(row * n + other, return_index=True)  # one of each pair, by row
+    row, other, sim = row[first], other[first], sim[first]
+    order = np.lexsort((other, -sim, row))
+    row, other, sim = row[order], other[order], sim[order]
+    begin = np.searchsorted(row, np.arange(n + 1))
+    edges = []
+    for lo in range(0, n, 512):
+        hi = min(lo + 512, n)
+        count = np.minimum(np.diff(begin[lo : hi + 1]), CANDIDATES)
+        at = begin[lo:hi, None] + np.minimum(np.arange(CANDIDATES), np.maximum(count - 1, 0)[:, None])
+        there = np.arange(CANDIDATES) < count[:, None]
+        if not there.any():
+            continue
+        at = np.minimum(at, len(row) - 1)
+        cand, sims = np.where(there, other[at], -1), np.where(there, sim[at], -1.0)
+        r, k = np.nonzero(robust_prune(x, sims, cand))
+        edges.append((r + lo) * n + cand[r, k])
+    flat = np.concatenate(edges) if edges else np.zeros(0, np.int64)
+    a, b = flat // n, flat % n
+    both = np.unique(np.concatenate([flat, b * n + a]))
+    return both // n, both % n
 
 
 def range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of all nodes found with similarity >= threshold. graph: neighbours, -1 where there are fewer."""
-    mean = x.mean(0)
-    medoid = int((x @ mean).argmax())
+    n = len(x)
+    medoid = int((x @ x.mean(0)).argmax())
     found_q, found_n = [], []
     for lo in range(0, len(queries), QUERIES):
         q = queries[lo : lo + QUERIES]
         m = len(q)
-        seen = np.zeros((m, len(x)), bool)
-        sims = np.full((m, len(x)), -9.0, np.float64)
-        seen[:, medoid] = True
-        sims[:, medoid] = q @ x[medoid]
-        open_ = np.full((m, len(x)), -9.0)  # similarity of nodes seen and not yet expanded
-        open_[:, medoid] = sims[:, medoid]
-        active = np.arange(m)
+        seen, mark = np.zeros(m * n, bool), np.empty(m * n, np.int32)
 
-        def expand(rows, nodes, q=q, seen=seen, sims=sims, open_=open_):
-            open_[rows, nodes] = -9
+        def fresh(rows, nodes, q=q, seen=seen, mark=mark):
+            """The neighbours of nodes that their rows have not seen yet, once each, and their similarities."""
             near = graph[nodes]
             r = np.repeat(rows, near.shape[1])
             near = near.ravel()
-            ok = near >= 0
-            r, near = r[ok], near[ok]
-            ok = ~seen[r, near]
-            r, near = r[ok], near[ok]
-            flat = np.unique(r * len(x) + near)
-            r, near = flat // len(x), flat % len(x)
-            s = np.einsum("ij,ij->i", q[r], x[near])
-            seen[r, near] = True
-            sims[r, near] = s
-            open_[r, near] = s
-
-        while len(active):  # greedy: the best open node, if it is among the BEAM best seen
-            best = open_[active].argmax(1)
-            value = open_[active, best]
-            rank = (sims[active] > value[:, None]).sum(1)
-            go = (value > -9) & (rank < BEAM)
-            active, best = active[go], best[go]
-            if len(active):
-                expand(active, best)
-        while True:  # range: all open nodes near enough to the threshold
-            rows, nodes = np.nonzero(open_ >= threshold - SLACK)
-            if not len(rows):
+            flat = r * n + near
+            ok = (near >= 0) & ~seen[flat]
+            flat = flat[ok]
+            mark[flat] = np.arange(len(flat), dtype=np.int32)
+            flat = flat[mark[flat] == np.arange(len(flat), dtype=np.int32)]
+            seen[flat] = True
+            r, near = flat // n, flat % n
+            s = np.empty(len(r))
+            for k in range(0, len(r), 65_536):
+                s[k : k + 65_536] = np.einsum("ij,ij->i", q[r[k : k + 65_536]], x[near[k : k + 65_536]])
+            hit = s >= threshold
+            found_q.append(r[hit] + lo)
+            found_n.append(near[hit])
+            return r, near, s
+
+        seen[np.arange(m) * n + medoid] = True
+        first = q @ x[medoid]
+        hit = np.flatnonzero(first >= threshold)
+        found_q.append(hit + lo)
+        found_n.append(np.full(len(hit), medoid))
+        # each query's BEAM best nodes, their similarities, and whether they are still to be expanded
+        beam, sims, todo = np.full((m, BEAM), medoid), np.full((m, BEAM), -9.0), np.zeros((m, BEAM), bool)
+        sims[:, 0], todo[:, 0] = first, True
+        held = []  # nodes near enough to the threshold that left the beam unexpanded
+        active = np.arange(m)
+        while len(active):  # greedy: the best node of the beam that has not been expanded
+            value = np.where(todo[active], sims[active], -9.0)
+            pick = value.argmax(1)
+            go = value[np.arange(len(active)), pick] > -9
+            active, pick = active[go], pick[go]
+            if not len(active):
                 break
-            for k in range(0, len(rows), 8192):
-                expand(rows[k : k + 8192], nodes[k : k + 8192])
-        r, n = np.nonzero(sims >= threshold)
-        found_q.append(r + lo)
-        found_n.append(n)
+            todo[active, pick] = False
+            r, near, s = fresh(active, beam[active, pick])
+            held.append((r[s >= threshold - SLACK], near[s >= threshold - SLACK]))
+            order = np.lexsort((-s, r))  # the best of the new nodes of each row
+            r, near, s = r[order], near[order], s[order]
+            nth = np.arange(len(r)) - np.searchsorted(r, r)
+            r, near, s, nth = r[nth < BEAM], near[nth < BEAM], s[nth < BEAM], nth[nth < BEAM]
+            rows, at = np.unique(r, return_inverse=True)
+            wide = np.full((len(rows), 2 * BEAM), -9.0)
+            ids, open_ = np.zeros((len(rows), 2 * BEAM), np.int64), np.zeros((len(rows), 2 * BEAM), bool)
+            wide[:, :BEAM], ids[:, :BEAM], open_[:, :BEAM] = sims[rows], beam[rows], todo[rows]
+            wide[at, BEAM + nth], ids[at, BEAM + nth], open_[at, BEAM + nth] = s, near, True
+            best = np.argsort(-wide, axis=1, kind="stable")[:, :BEAM]
+            sims[rows], beam[rows], todo[rows] = (np.take_along_axis(v, best, 1) for v in (wide, ids, open_))
+        # range: all nodes near enough to the threshold, those of the greedy walk once more (their neighbours are mostly seen)
+        rows, nodes = (np.concatenate(v) for v in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 2
+        close = np.flatnonzero(first >= threshold - SLACK)
+        rows, nodes = np.concatenate([rows, close]), np.concatenate([nodes, np.full(len(close), medoid)])
+        while len(rows):
+            got = [fresh(rows[k : k + 8192], nodes[k : k + 8192]) for k in range(0, len(rows), 8192)]
+            rows, nodes, s = (np.concatenate(v) for v in zip(*got, strict=True))
+            rows, nodes = rows[s >= threshold - SLACK], nodes[s >= threshold - SLACK]
+    if not found_q:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(found_q), np.concatenate(found_n)
 
 
@@ -166,72 +258,82 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarra
         low = new
 
 
-def _links(classes: DataFrame, dim: int, overlap: int, threshold: float, stage: Stage) -> DataFrame:
-    """(cls, n, root) of each class and group: links counted there and a class it is joined with."""
+def _links(classes: DataFrame, total: int, dim: int, overlap: int, threshold: float, stage: Stage) -> tuple[DataFrame, int]:
+    """(cls, n, root) of each class and group: links counted there and a class it is joined with; and the centroids."""
     spark = classes.sparkSession
-    total = classes.count()
-    sample = classes.select("cls", "v").orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).collect()
     k = max(1, min(CENTROIDS_MOST, -(-total // SHARD_SIZE)))
-    centres = _centroids(_matrix([r["v"] for r in sample], dim), k) if sample else np.zeros((1, dim))
+    most = max(SAMPLE_LEAST, min(SAMPLE_MOST, SAMPLE * k))
+    sample = classes.select("cls", "v").orderBy(F.xxhash64("cls"), "cls").limit(most).select("v").collect()
+    centres = spark.sparkContext.broadcast(Centres(_matrix([r["v"] for r in sample], dim) if sample else np.zeros((1, dim)), k))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                s = _matrix(part.column(1).to_pylist(), dim) @ centres.T
-                most = min(overlap, s.shape[1])
-                near = np.sort(np.argpartition(-s, most - 1, axis=1)[:, :most], axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], ["cls", "v", "w", "shards"])
+                near = centres.value.nearest(_matrix(part.column(1).to_pylist(), dim), overlap).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near[:, 0]), pa.array(list(near), pa.list_(pa.int32()))], ["cls", "v", "w", "home", "shards"])
 
-    put = stage.save(classes.select("cls", "v", "w").mapInArrow(assign, "cls long, v binary, w long, shards array<int>"), "assigned")
-    sizes = {r["s"]: r["count"] for r in put.select(F.explode("shards").alias("s")).groupBy("s").count().collect()}
-    blocks = F.from_json(F.lit("{" + ",".join(f'"{s}":{-(-n // SHARD_MOST)}' for s, n in sizes.items()) + "}"), "map<string,int>")
-    rows = put.select("*", F.explode("shards").alias("shard")).withColumn("blocks", blocks[F.col("shard").cast("string")])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    put = classes.select("cls", "v", "w").mapInArrow(assign, "cls long, v binary, w long, home int, shards array<int>")
+    put = stage.save(put.withColumn("shards", F.array_distinct("shards")), "assigned")
+    rows = put.select("*", F.explode("shards").alias("shard"))
+    sizes = rows.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_MOST).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        graph = build_graph(_matrix(pdf["v"], dim))
+        a, b = build_graph(_matrix(pdf["v"], dim))
         ids = pdf["cls"].to_numpy()
-        return pd.DataFrame({"cls": ids, "near": [ids[g] for g in graph]})
+        begin = np.searchsorted(a, np.arange(len(ids) + 1))
+        return pd.DataFrame({"cls": ids, "near": [ids[b[begin[i] : begin[i + 1]]] for i in range(len(ids))]})
 
-    near = rows.groupBy("shard", "block").applyInPandas(build, "cls long, near array<long>")
+    near = rows.select("cls", "v", "shard", "block").groupBy("shard", "block").applyInPandas(build, "cls long, near array<long>")
     near = near.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     rows = rows.join(near, "cls")
-    # a row is a node of its block's graph for the queries of this block and later ones, and a query to this block and earlier ones
+    # a group is a block of nodes (g) and a block of queries (q) of one shard; a row of a shard is a node of its
+    # block for all blocks of queries, and, where the shard is its home, a query to all blocks of nodes
     group = F.expr(
-        "concat(transform(sequence(block, blocks - 1), q -> struct(block as g, q as q, true as node)),"
-        " transform(filter(sequence(0, block), g -> g < block), g -> struct(g as g, block as q, false as node)))"
+        "concat(transform(sequence(0, blocks - 1), q -> struct(block as g, q as q, true as node, home = shard and q = block as ask)),"
+        " if(home = shard, transform(filter(sequence(0, blocks - 1), g -> g <> block), g -> struct(g as g, block as q, false as node, true as ask)), array()))"
     )
-    rows = rows.select("cls", "v", "w", "shards", "shard", "block", "near", F.inline(group))
+    rows = rows.select("cls", "v", "w", "home", "shards", "shard", "block", "near", F.inline(group))
+    rows = rows.withColumn("near", F.when(F.col("node"), F.col("near")))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"cls": [], "n": [], "root": []}).astype("int64")
         shard, g, q = (int(pdf[c].iloc[0]) for c in ("shard", "g", "q"))
+        nodes, asks = np.flatnonzero(pdf["node"].to_numpy()), np.flatnonzero(pdf["ask"].to_numpy())
+        if not len(nodes) or not len(asks):
+            return none
         pdf = pdf.sort_values("cls", kind="stable").reset_index(drop=True)
-        ids, w = pdf["cls"].to_numpy(), pdf["w"].to_numpy()
+        nodes, asks = np.flatnonzero(pdf["node"].to_numpy()), np.flatnonzero(pdf["ask"].to_numpy())
+        ids, w, home = (pdf[c].to_numpy() for c in ("cls", "w", "home"))
         x = _matrix(pdf["v"], dim)
-        nodes = np.flatnonzero(pdf["node"].to_numpy() & (pdf["block"].to_numpy() == g))
-        asks = np.flatnonzero(pdf["block"].to_numpy() == q)
-        local = [np.searchsorted(ids[nodes], v) for v in pdf["near"].iloc[nodes]]
-        local = [a[(a < len(nodes)) & (ids[nodes][np.minimum(a, len(nodes) - 1)] == v)] for a, v in zip(local, pdf["near"].iloc[nodes], strict=True)]
-        graph = np.full((len(nodes), max(1, max(map(len, local), default=1))), -1, np.int64)
-        for i, a in enumerate(local):
-            graph[i, : len(a)] = a
-        if not len(nodes) or not len(asks):
-            return pd.DataFrame({"cls": [], "n": [], "root": []}).astype("int64")
+        lists = [np.asarray(v, np.int64) for v in pdf["near"].iloc[nodes]]
+        size = np.array([len(v) for v in lists])
+        flat = np.concatenate(lists)
+        at = np.minimum(np.searchsorted(ids[nodes], flat), len(nodes) - 1)
+        ok = ids[nodes][at] == flat  # neighbours in other shards or blocks are none here
+        owner, at = np.repeat(np.arange(len(nodes)), size)[ok], at[ok]
+        nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        graph = np.full((len(nodes), int(nth.max(initial=0)) + 1), -1, np.int64)
+        graph[owner, nth] = at
         a, b = range_search(x[nodes], graph, x[asks], threshold)
         a, b = asks[a], nodes[b]
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        pair = np.unique((lo * len(ids) + hi)[lo != hi])
+        a, b = a[a != b], b[a != b]
+        # does this group answer for the pair? Of one home: it does where both are asked here, else the lower block
+        # asks. Of two homes: the smaller class asks at its home, if the other is a node there; else the larger does.
+        width = max(map(len, pdf["shards"]))
+        shards = np.array([list(v) + [-1] * (width - len(v)) for v in pdf["shards"]])
+        same = home[a] == home[b]
+        mine = np.where(same, g >= q, (ids[a] < ids[b]) | ~(shards[a] == home[b][:, None]).any(1))
+        a, b = a[mine], b[mine]
+        pair = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b))
         lo, hi = pair // len(ids), pair % len(ids)
-        own = [frozenset(s) for s in pdf["shards"]]
-        counted = np.array([min(own[i] & own[j]) == shard for i, j in zip(lo, hi, strict=True)], bool)
-        n = np.bincount(lo[counted], w[hi[counted]], len(ids)) + np.bincount(hi[counted], w[lo[counted]], len(ids))
-        root = _roots(len(ids), lo, hi, ids)
+        n = np.bincount(lo, w[hi], len(ids)) + np.bincount(hi, w[lo], len(ids))
         touched = np.unique(np.concatenate([lo, hi]))
-        return pd.DataFrame({"cls": ids[touched], "n": n[touched].astype(np.int64), "root": root[touched]})
+        return pd.DataFrame({"cls": ids[touched], "n": n[touched].astype(np.int64), "root": _roots(len(ids), lo, hi, ids)[touched]})
 
     found = rows.groupBy("shard", "g", "q").applyInPandas(search, "cls long, n long, root long")
-    return stage.save(found, "found")
+    return stage.save(found, "found"), k
 
 
 def _recall(classes: DataFrame, counts: DataFrame, dim: int, threshold: float) -> float:
@@ -261,7 +363,8 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "
     n_links counts the other rows found with cosine >= threshold (equal vectors among them), none below
     it. Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing:
     n_links 0, a component of their own. Vectors shorter than the longest count as padded with zeros. A
-    row with a null vec_id takes part, but names a component only if it holds no other. Labels and other
+    row with a null vec_id takes part, but names a component only if it holds no other. audited_recall is the
+    share of the links of sampled classes that was found, AUDIT_LEAST and more but where all overlap is used up. Labels and other
     columns are ignored. An empty table gives an empty result.
     """
     stage = Stage(vectors.sparkSession, "embedding")
@@ -271,18 +374,29 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_unit(batch.column(1), dim), pa.binary())], ["vec_id", "v"])
-
-    rows = stage.save(rows.mapInArrow(unit, "vec_id long, v binary").withColumn("cls", F.when(F.col("v").isNotNull(), F.xxhash64("v"))), "vectors")
-    classes = stage.save(rows.where("v is not null").groupBy("cls").agg(F.first("v").alias("v"), F.count("*").alias("w"), F.min("vec_id").alias("low")), "classes")
+            yield pa.RecordBatch.from_arrays([batch.column(0), _unit(batch.column(1), dim)], ["vec_id", "v"])
+
+    rows = stage.save(rows.mapInArrow(unit, "vec_id long, v binary"), "vectors")
+    each = rows.where("v is not null").groupBy("v").agg(F.count("*").alias("w"), F.min("vec_id").alias("low"))
+    for seed in range(8):  # a class number is a hash of the vector; another seed where two vectors share one
+        number = F.xxhash64("v", F.lit(seed))
+        classes = stage.save(each.withColumn("cls", number), "classes")
+        total, most = classes.groupBy("cls").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        if most <= 1:
+            break
+    else:
+        raise RuntimeError("no seed gave each vector a number of its own")
+    rows = rows.select("vec_id", F.when(F.col("v").isNotNull(), number).alias("cls"))
     overlap = OVERLAP
-    for attempt in range(ROUNDS):
-        found = _links(classes, dim, overlap, threshold, stage)
+    while True:
+        found, centroids = _links(classes, total, dim, overlap, threshold, stage)
         counts = found.groupBy("cls").agg(F.sum("n").alias("n"))
         recall = _recall(classes, counts, dim, threshold)
-        if recall >= AUDIT_LEAST or attempt == ROUNDS - 1:
+        if recall >= AUDIT_LEAST or overlap >= centroids:
             break
-        overlap += 2
+        overlap *= 2
+    if recall < RECALL_LEAST:
+        raise RuntimeError(f"audited recall {recall:.3f} with every class in every shard")
     comps = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")), stage)
     of = classes.drop("v").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     lowest = of.groupBy("comp").agg(F.min("low").alias("component_id"))

@@ -253,12 +253,56 @@ def test_embeddings(spark):
     assert embedding.near_dedup(df.limit(0)).count() == 0
 
 
-def test_large_shards_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(embedding, "SHARD_MOST", 60)
+@pytest.mark.parametrize("most", [60, 6000])
+def test_counts_and_components_agree(spark, monkeypatch, most):
+    """Shards cut into blocks, several homes: each link counts for both ends or for none, and joins them."""
+    monkeypatch.setattr(embedding, "SHARD_MOST", most)
+    monkeypatch.setattr(embedding, "SHARD_SIZE", 40)
     rng = np.random.default_rng(9)
-    x = rng.normal(size=16) + rng.normal(size=(200, 16)) * 0.2
+    x = np.concatenate([c + rng.normal(size=(100, 16)) * 0.2 for c in rng.normal(size=(3, 16))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    links = (u @ u.T >= 0.9).sum(1) - 1
-    got = np.array([r.n_links for r in sorted(embedding.near_dedup(df).collect(), key=lambda r: r.vec_id)])
-    assert (got <= links).all() and got.sum() >= 0.97 * links.sum() > 0
+    near = u @ u.T >= 0.9
+    links = near.sum(1) - 1
+    got = sorted(embedding.near_dedup(df).collect(), key=lambda r: r.vec_id)
+    n = np.array([r.n_links for r in got])
+    assert (n <= links).all() and n.sum() >= 0.97 * links.sum() > 0 and n.sum() % 2 == 0
+    size = Counter(r.component_id for r in got)
+    assert all((r.n_links > 0) == (size[r.component_id] > 1) for r in got)
+
+
+def test_graph_is_pruned_and_connected_enough():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    a, b = embedding.build_graph(x)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(b.tolist(), a.tolist(), strict=True)) and (a != b).all()
+    s = x @ x.T
+    for i in range(0, 500, 50):  # a plain pruning of one row's candidates
+        cand = np.array([j for j in np.argsort(-s[i], kind="stable") if j != i][:20])
+        kept = []
+        for j in cand:
+            dist = np.sqrt(max(2 - 2 * s[i, j], 0))
+            if len(kept) < embedding.DEGREE and all(embedding.ALPHA * np.sqrt(max(2 - 2 * s[j, k], 0)) > dist for k in kept):
+                kept.append(j)
+        assert cand[embedding.robust_prune(x, s[i, cand][None], cand[None])[0]].tolist() == kept
+
+
+def test_many_centroids_are_found_through_tops(monkeypatch):
+    monkeypatch.setattr(embedding, "FLAT_MOST", 20)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    c = embedding.Centres(x, 200)
+    near = c.nearest(x, 3)
+    exact = np.argsort(-(x @ c.c.T), axis=1)[:, :3]
+    assert near.shape == (3000, 3) and (near[:, 0] == exact[:, 0]).mean() > 0.9
+
+
+def test_unit_vectors():
+    import pyarrow as pa
+
+    rows_in = [[3.0, 4.0], None, [], [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0], [1e300, 1e300], [1e-300, 0.0], [2.0]]
+    got = embedding._unit(pa.array(rows_in, pa.list_(pa.float64())), 2).to_pylist()
+    vectors = [None if v is None else np.frombuffer(v).round(6).tolist() for v in got]
+    assert vectors == [[0.6, 0.8], None, None, None, None, None, None, [0.707107, 0.707107], [1.0, 0.0], [1.0, 0.0]]
