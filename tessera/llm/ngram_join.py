@@ -11,13 +11,14 @@
    pairs). Verified links give components; only classes of different components are paired further.
    At last the classes outside the largest component of a shingle meet all others, in chunks of
    bounded size. So a group of thousands of near copies costs a few pairs for each member, and no
-   pair between components goes unexamined.
+   pair between components goes unexamined. The entries of a common shingle are dealt by class into
+   chunks, and whatever meets them (hubs, other chunks) is sent to each, so no task takes a whole one.
 5. A pair must pass the length filter, the positional bound at the shingle where it met, and
    the suffix bound: the sets are cut at fixed hash pivots into ranges, and the sum of the
    smaller counts bounds the overlap. Survivors are verified once, exactly, on shared shingles.
 
-Shingles and classes are held as 64-bit hashes; two of a corpus' n classes share a hash with
-odds of n^2 / 2^65.
+Classes are numbered by a 64-bit hash of their set; where two sets share one (found by a second hash),
+they are numbered by that. Shingles are held as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -59,13 +60,19 @@ def _sets(batches, text: str, width: int):
         yield block, [np.unique(win[at[k] : at[k + 1]]) for k in range(block.size)]
 
 
-def _class_of(shingles: np.ndarray) -> int:
+def _class_of(shingles: np.ndarray, seed: int = 0) -> int:
     """A number for a set; never HOT."""
-    return max(int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64)), HOT + 1)
+    return max(int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), seed)).astype(np.int64)), HOT + 1)
+
+
+def _class_number(shingles: np.ndarray, shared: frozenset[int]) -> int:
+    """The class of a set; shared: first hashes that several sets have."""
+    c = _class_of(shingles)
+    return _class_of(shingles, 1) if c in shared else c
 
 
 def members(docs: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, cls); cls is null for an empty set."""
+    """(doc_id, n_shingles, cls, alt); cls and alt, two hashes of the set, are null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, sets in _sets(batches, "text", width):
@@ -74,16 +81,23 @@ def members(docs: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str
                     block.batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([_class_of(s, 1) if len(s) else None for s in sets], pa.int64()),
                 ],
-                ["doc_id", "n_shingles", "cls"],
+                ["doc_id", "n_shingles", "cls", "alt"],
             )
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, cls long"
+        run, "doc_id long, n_shingles long, cls long, alt long"
     )
 
 
-def _packed(docs: DataFrame, width: int, parts: int, salts: int, hot: int, text: str) -> DataFrame:
+def shared_numbers(member: DataFrame) -> frozenset[int]:
+    """First hashes that different sets have: of n sets some n^2 / 2^65 pairs, so a handful at most."""
+    twice = member.where("cls is not null").groupBy("cls").agg(F.min("alt").alias("a"), F.max("alt").alias("b")).where("a <> b")
+    return frozenset(r["cls"] for r in twice.select("cls").collect())
+
+
+def _packed(docs: DataFrame, width: int, parts: int, salts: int, hot: int, text: str, alike: frozenset[int]) -> DataFrame:
     """(part, blob): the shingles of each class, dealt by hash into parts; a class goes once from each task.
 
     A shingle that `hot` or more classes of one flush hold is dealt by class into `salts` further groups of
@@ -127,7 +141,7 @@ def _packed(docs: DataFrame, width: int, parts: int, salts: int, hot: int, text:
         classes, sets, held = [], [], 0
         for _, found in _sets(batches, "text", width):
             for s in found:
-                if len(s) and (c := _class_of(s)) not in sent:
+                if len(s) and (c := _class_number(s, alike)) not in sent:
                     sent.add(c)
                     classes.append(c)
                     sets.append(s)
@@ -220,14 +234,16 @@ def _pair(x: str, y: str) -> list:
     return [F.least(f"{x}.cls", f"{y}.cls").alias("a"), F.greatest(f"{x}.cls", f"{y}.cls").alias("b")]
 
 
-def class_links(docs: DataFrame, member: DataFrame, stage: Stage, width: int = WIDTH, percent: int = PERCENT, text: str = "text") -> DataFrame:
+def class_links(
+    docs: DataFrame, member: DataFrame, stage: Stage, width: int = WIDTH, percent: int = PERCENT, text: str = "text", alike: frozenset[int] = frozenset()
+) -> DataFrame:
     """Verified links (a, b) between classes, enough to join every two linked classes by a path; staged."""
     n, total = member.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     parts = max(1, min((1 << 24) - 1, -(-total // PART_ENTRIES)))
     salts = max(1, -(-n // PART_ENTRIES))
     hot = max(2, PART_ENTRIES // max(1, -(-total // FLUSH_ENTRIES)))
     shared = (
-        _packed(docs, width, parts, salts, hot, text)
+        _packed(docs, width, parts, salts, hot, text, alike)
         .repartition(max(1, min(partitions(docs.sparkSession), parts)), "part")
         .sortWithinPartitions("part")
         .mapInArrow(lambda batches: _shared(batches, salts), "cls long, n long, hash long, df long")
@@ -243,20 +259,28 @@ def class_links(docs: DataFrame, member: DataFrame, stage: Stage, width: int = W
         .withColumn("prefix", F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-6) + 1 - (F.col("n") - F.col("shared"))),
         "sets",
     )
+    entries = sets.where("prefix > 0").select(
+        "cls", "n", "shared", "ranges", F.posexplode(F.slice("hashes", F.lit(1), F.least("prefix", "shared").cast("int"))).alias("at", "hash")
+    )
+    # a shingle of many entries is dealt into chunks by class; few shingles are so common, so that this join needs no
+    # shuffle of the entries, or one whose large keys the planner splits
+    often = stage.save(entries.groupBy("hash").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK), "often")
+    chunks = F.coalesce(F.ceil(F.col("c") / CHUNK), F.lit(1)).cast("int")
     prefix = stage.save(
-        sets.where("prefix > 0")
-        .select("cls", "n", "shared", "ranges", F.posexplode(F.slice("hashes", F.lit(1), F.least("prefix", "shared").cast("int"))).alias("at", "hash"))
-        .select("hash", F.struct("cls", "n", "shared", "ranges", "at").alias("e")),
+        entries.join(often, "hash", "left").select(
+            "hash", F.pmod(F.xxhash64("cls"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"), F.struct("cls", "n", "shared", "ranges", "at").alias("e")
+        ),
         "prefix",
     )
     links = None
     known = prefix.withColumn("comp", F.col("e.cls"))
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
     for nth in range(len(HUBS)):
         hubs = known.groupBy("hash").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array(*[F.min_by(F.struct("e", "comp"), F.expr(key)) for key in HUBS[nth]]).alias("hubs")
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("chunks").alias("chunks"), F.array(*[F.min_by(F.struct("e", "comp"), F.expr(key)) for key in HUBS[nth]]).alias("hubs")
         )
         star = (
-            known.join(hubs.where("lo < hi").select("hash", "hubs"), "hash")
+            known.join(hubs.where("lo < hi").select("hash", "hubs", every), ["hash", "chunk"])
             .select("e", "comp", F.explode("hubs").alias("h"))
             .where((F.col("comp") != F.col("h.comp")) & _passes("e", "h.e", percent))
             .select(*_pair("e", "h.e"))
@@ -265,22 +289,29 @@ def class_links(docs: DataFrame, member: DataFrame, stage: Stage, width: int = W
         links = found if links is None else links.union(found)
         comps = connected_components(links, stage)
         known = prefix.withColumn("node", F.col("e.cls")).join(comps, "node", "left")
-        known = stage.save(known.select("hash", "e", F.coalesce("comp", "node").alias("comp")), "known")
+        known = stage.save(known.select("hash", "chunk", "chunks", "e", F.coalesce("comp", "node").alias("comp")), "known")
+        stage.drop("cc", "cc-both")
     # what is left: members outside the largest component of a shingle, with all others of another component
-    sizes = known.groupBy("hash", "comp").agg(F.count("*").alias("c")).groupBy("hash")
-    sizes = sizes.agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("c"), F.count("*").alias("comps")).where("comps > 1")
-    mixed = known.join(sizes, "hash")
-    chunks = mixed.groupBy("hash", F.pmod(F.xxhash64("e.cls"), F.ceil(F.col("c") / CHUNK)).alias("chunk")).agg(F.collect_list(F.struct("e", "comp", "main")).alias("ys"))
-    strays = mixed.where("comp != main").select("hash", "e", "comp")
+    sizes = known.groupBy("hash", "comp").agg(F.count("*").alias("c"), F.max("chunks").alias("chunks")).groupBy("hash")
+    sizes = sizes.agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("strays"), F.max("chunks").alias("chunks"), F.count("*").alias("comps"))
+    sizes = sizes.where("comps > 1").withColumn("groups", F.ceil(F.col("strays") / CHUNK).cast("int"))
+    mixed = known.drop("chunks").join(sizes.select("hash", "main", "groups", "chunks", every), ["hash", "chunk"])
+    # each group of strays meets each chunk in a row of its own
+    whole = mixed.groupBy("hash", "chunk").agg(F.collect_list(F.struct("e", "comp", "main")).alias("ys"), F.max("groups").alias("groups"))
+    whole = whole.select("hash", "chunk", "ys", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    strays = mixed.where("comp != main").withColumn("group", F.pmod(F.xxhash64("e.cls", F.lit(1)), "groups").cast("int"))
+    strays = strays.groupBy("hash", "group").agg(F.collect_list(F.struct("e", "comp")).alias("xs"), F.max("chunks").alias("chunks")).select("hash", "group", "xs", every)
     other = lambda y: (
-        (y["comp"] != F.col("comp")) & ((y["comp"] == y["main"]) | (y["e"]["cls"] > F.col("e.cls"))) & _passes("e", lambda f: y["e"][f], percent)
+        (y["comp"] != F.col("x.comp")) & ((y["comp"] == y["main"]) | (y["e"]["cls"] > F.col("x.e.cls"))) & _passes("x.e", lambda f: y["e"][f], percent)
     )
     cross = (
-        strays.join(chunks, "hash")
-        .select("e", F.explode(F.transform(F.filter("ys", other), lambda y: y["e"]["cls"])).alias("y"))
-        .select(F.least("e.cls", "y").alias("a"), F.greatest("e.cls", "y").alias("b"))
+        strays.join(whole, ["hash", "group", "chunk"])
+        .select(F.explode("xs").alias("x"), "ys")
+        .select("x", F.explode(F.transform(F.filter("ys", other), lambda y: y["e"]["cls"])).alias("y"))
+        .select(F.least("x.e.cls", "y").alias("a"), F.greatest("x.e.cls", "y").alias("b"))
     )
     stage.save(_verified(cross, sets, percent), "links")
+    stage.drop("sets", "often", "prefix", "known")
     return docs.sparkSession.read.schema(links.schema).parquet(*[f"{stage.base}/links-{n}" for n in range(len(HUBS) + 1)])
 
 
@@ -296,12 +327,16 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text
     """
     stage = Stage(docs.sparkSession, "ngram-join")
     member = stage.save(members(docs, width, text, doc_id), "members")
-    links = class_links(docs, member, stage, width, percent, text)
+    alike = shared_numbers(member)
+    number = F.when(F.col("cls").isin(list(alike)), F.col("alt")).otherwise(F.col("cls")) if alike else F.col("cls")
+    member = member.select("doc_id", "n_shingles", number.alias("cls"))
+    links = class_links(docs, member, stage, width, percent, text, alike)
     comps = connected_components(links, stage)
     lowest = member.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
     lowest = lowest.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     whole = lowest.groupBy("comp").agg(F.min("low").alias("component_id"))
     of_class = stage.save(lowest.join(whole, "comp").select("cls", "component_id"), "classes")
+    stage.drop("links", "cc", "cc-both")
     return member.join(of_class, "cls", "left").select(
         "doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
@@ -310,8 +345,9 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text
 def near_duplicate_keepers(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay when one document of each component does: the one with the smallest doc_id.
 
-    Rows with a null doc_id stay (they cannot be told apart); of repeated rows of a kept doc_id all stay.
+    Rows with a null doc_id stay (they cannot be told apart). Rows of one doc_id stay or go together: they
+    stay if any of them stands for its component, so that no text is lost.
     """
     found = ngram_join(docs, width, percent)
-    gone = found.where("component_id != doc_id").select("doc_id").distinct()
+    gone = found.groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays")).where("not stays").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,22 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: list[str] = []
+from tessera.functions.shared import shared_dir
+
 #: A staged table needs none of the shuffle files it came from: they go when it is written.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where that is unset (tests), one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="tessera-"))
-        atexit.register(shutil.rmtree, _OWN_DIR[0], True)
-    return "file://" + _OWN_DIR[0]
-
-
 def small_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
     """Arrow batches of whole texts stay small: fewer rows and bytes than the defaults, where those are what is set."""
     for key, default, value in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", "8388608b")):
@@ -37,16 +24,23 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
     return spark
 
 
+#: The folders that this driver made and has not deleted.
+_MADE: list[Stage] = []
+
+
 class Stage:
     """Tables written to the shared folder and read back: cuts lineage, survives lost executors.
 
-    Each operator call has its own folder, so concurrent calls do not meet.
+    Each operator call has its own folder, so concurrent calls do not meet. An operator drops the tables
+    that nothing reads any more; those its result reads stay until drop_since() is told that the result
+    is written. Arrow batches are set small for the session (small_batches), since results run later.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = small_batches(spark)
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made: dict[str, int] = {}
+        _MADE.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         n = self.made[name] = self.made.get(name, -1) + 1
@@ -59,12 +53,32 @@ class Stage:
             self.spark.conf.set(_CLEAN, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete the tables of that name written so far (none of them may be read again)."""
-        jvm = self.spark.sparkContext._jvm
-        for n in range(self.made.get(name, -1) + 1):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}-{n}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def _delete(self, path: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names written so far (none of them may be read again)."""
+        for name in names:
+            for n in range(self.made.get(name, -1) + 1):
+                self._delete(f"{self.base}/{name}-{n}")
+
+    def drop_all(self) -> None:
+        """Delete the folder of this call."""
+        self._delete(self.base)
+
+
+def stages_made() -> int:
+    """A mark for drop_since()."""
+    return len(_MADE)
+
+
+def drop_since(mark: int, but: Stage | None = None) -> None:
+    """Delete the staged tables of all calls since the mark: their results are written or no longer wanted."""
+    for stage in _MADE[mark:]:
+        if stage is not but:
+            stage.drop_all()
+    _MADE[mark:] = [s for s in _MADE[mark:] if s is but]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,5 +1,6 @@
 """Operators that bring texts or rows together, against plain versions."""
 
+import os
 import random
 from collections import Counter
 
@@ -34,8 +35,10 @@ def test_join_on_documents_and_odd_rows(docs, odd):
     check_join(odd)
 
 
-def test_join_on_a_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("chunk", [512, 16])
+def test_join_on_a_large_group_of_near_copies(spark, monkeypatch, chunk):
     """Copies with more and more edits: some pairs link, some do not, and hubs alone would not tell."""
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
     rng, base, rows = random.Random(5), words(120, 1), []
     for i in range(260):
         t = list(base)
@@ -68,6 +71,33 @@ def test_join_at_the_threshold(spark):
     check_join(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_sets_that_share_a_number(spark):
+    rows = [(1, 2, 7, 70), (2, 2, 7, 70), (3, 2, 7, 71), (4, 2, 8, 72), (5, 0, None, None)]
+    assert ngram_join.shared_numbers(spark.createDataFrame(rows, "doc_id long, n_shingles long, cls long, alt long")) == {7}
+    a, b = np.array([1, 2], np.uint64), np.array([1, 3], np.uint64)
+    alike = frozenset({ngram_join._class_of(a)})
+    assert ngram_join._class_number(a, alike) == ngram_join._class_of(a, 1) != ngram_join._class_of(a)
+    assert ngram_join._class_number(b, alike) == ngram_join._class_of(b)
+
+
+def test_keepers_of_repeated_ids(spark):
+    """No text is lost because its doc_id also stands on a copy of another document."""
+    t, u = " ".join(words(30, 1)), " ".join(words(30, 2))
+    rows = [(1, t), (2, t), (2, u), (3, u), (None, t), (4, None), (4, t)]
+    kept = ngram_join.near_duplicate_keepers(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, t), (2, t), (2, u), (None, t), (4, None), (4, t)])
+
+
+def test_staged_tables_go(spark, docs, tmp_path):
+    mark = spark_util.stages_made()
+    ngram_join.ngram_join(docs).write.parquet(str(tmp_path / "out"))
+    made = spark_util._MADE[mark:]
+    folders = [s.base.removeprefix("file://") for s in made]
+    assert made and all(sorted(x.split("-")[0] for x in os.listdir(f)) == ["classes", "members"] for f in folders)
+    spark_util.drop_since(mark)
+    assert spark_util.stages_made() == mark and not any(os.path.exists(f) for f in folders)
+
+
 def test_join_empty(none):
     assert ngram_join.ngram_join(none).count() == 0
     assert ngram_join.near_duplicate_keepers(none).columns == none.columns
@@ -98,7 +128,46 @@ def test_substring_finds_planted_passages(spark, odd, none):
     assert all(text[r.doc_id][r.start : r.stop].strip() in " ".join(passage[r.doc_id % 20]) and r.first_doc_id == r.doc_id % 20 for r in got)
     assert substring.repeated_spans(none).count() == 0
     found = {r.doc_id for r in substring.repeated_spans(odd).collect()}
-    assert {1, 2}.isdisjoint({4, 5, 6}) and not found & {4, 5, 6, 7, 8}
+    assert {1, 2} <= found and not found & {4, 5, 6, 7, 8}
+
+
+def plain_spans(rows, least):
+    """Spans of chunks (by their very bytes) that stand elsewhere, too; the rows in their order."""
+    split, holders = [], {}
+    for k, (_, t) in enumerate(rows):
+        b = (t or "").encode()
+        at = substring.cuts(np.frombuffer(b, np.uint8), np.array([0, len(b)])).tolist() if b else []
+        split.append([b[x:y] for x, y in zip(at, [*at[1:], len(b)], strict=False)])
+        for c in split[-1]:
+            holders.setdefault(c, []).append(k)
+    out = []
+    for k, pieces in enumerate(split):
+        run, pos = [], 0
+        for c in [*pieces, None]:
+            if c is not None and len(holders[c]) > 1:
+                run.append((pos, c))
+            elif run:
+                whole = [w for _, x in run for w in brute.WORD.findall(x.decode())]
+                n_words = sum(len(brute.WORD.findall(x.decode())) for _, x in run)
+                if n_words >= least and whole:
+                    ids = [rows[h][0] for _, x in run for h in holders[x]]
+                    stop = run[-1][0] + len(run[-1][1].decode())
+                    first = min((i for i in ids if i is not None), default=None)
+                    out.append((rows[k][0], run[0][0], stop, n_words, len(run), first, any(holders[x][0] != k for _, x in run)))
+                run = []
+            pos += len((c or b"").decode())
+    return out
+
+
+def test_substring_equals_plain_chunks(spark, docs, odd):
+    """All columns, against dictionaries of whole chunks instead of digests; words are those that begin in a chunk."""
+    held = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").limit(200).union(odd.select("doc_id", "text")).collect()]
+    df = spark.createDataFrame(held, "doc_id long, text string").coalesce(1)
+    got = Counter((r.doc_id, r.start, r.stop, r.n_chunks, r.first_doc_id, r.is_copy) for r in substring.repeated_spans(df, min_words=0).collect())
+    plain = Counter((i, a, b, n, first, copy) for i, a, b, _, n, first, copy in plain_spans(held, 0))
+    # a span without any word is left out by the plain version alone
+    extra = got - plain
+    assert not plain - got and all(not brute.WORD.search("".join((t or "")[a:b] for j, t in held if j == i)) for i, a, b, _, _, _ in extra)
 
 
 def test_substring_cut_out(spark):

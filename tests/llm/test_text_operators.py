@@ -350,3 +350,46 @@ def test_quality_never_sees_the_held_out_fold(docs, labels):
     scores = lambda x: {r.doc_id: r.score for r in quality.score(docs, x).collect()}
     a, b = scores(labels), scores(turned)
     assert all(abs(a[i] - b[i]) < 1e-9 for i in a)
+
+
+def test_quality_equals_a_plain_fit(docs, labels):
+    """Standardised statistics, the Fourier map, ridge weights and isotonic rates, by plain loops and one solve."""
+    import math
+
+    stats = {r.doc_id: np.array(r.x) for r in quality.with_statistics(docs).collect()}
+    rows_in = [(r.doc_id, float(r.quality)) for r in labels.collect() if quality.crc_fold(r.doc_id) != 1 and r.doc_id in stats]
+    x = np.array([stats[i] for i, _ in rows_in])
+    mean, scale = x.mean(0), x.std(0)
+    scale[scale < 1e-9] = 1
+    rng = np.random.default_rng(quality.SEED)
+    w = rng.normal(size=(x.shape[1], quality.FEATURES)) / math.sqrt(x.shape[1])
+    b = rng.uniform(0, 2 * math.pi, quality.FEATURES)
+
+    def mapped(v):
+        z = np.clip((v - mean) / scale, -quality.CLIP, quality.CLIP)
+        return np.array([math.sqrt(2 / quality.FEATURES) * math.cos(float(z @ w[:, k]) + b[k]) for k in range(quality.FEATURES)] + [1.0])
+
+    first = [(mapped(stats[i]), y) for i, y in rows_in if quality.crc_fold(i) == 0]
+    z, y = np.array([v for v, _ in first]), np.array([y for _, y in first])
+    weights = np.linalg.solve(z.T @ z + quality.RIDGE * len(z) * np.eye(quality.FEATURES + 1) / quality.FEATURES, z.T @ y)
+    bins = {}
+    for i, good in rows_in:
+        if quality.crc_fold(i) == 2:
+            s = float(mapped(stats[i]) @ weights)
+            bins.setdefault(min(max(math.floor((s + 0.5) / 2 * quality.BINS), 0), quality.BINS - 1), []).append((s, good))
+    pools = [[sum(s for s, _ in v), sum(g for _, g in v), len(v)] for _, v in sorted(bins.items())]
+    while any(p[1] * q[2] >= q[1] * p[2] for p, q in zip(pools, pools[1:], strict=False)):
+        k = next(k for k in range(len(pools) - 1) if pools[k][1] * pools[k + 1][2] >= pools[k + 1][1] * pools[k][2])
+        pools[k : k + 2] = [[p + q for p, q in zip(pools[k], pools[k + 1], strict=True)]]
+    at, rate = [p[0] / p[2] for p in pools], [p[1] / p[2] for p in pools]
+    got = {r.doc_id: r.score for r in quality.score(docs, labels).collect()}
+    for i, v in stats.items():
+        assert abs(got[i] - np.interp(float(mapped(v) @ weights), at, rate)) < 1e-5, i
+
+
+def test_fourier_features_approximate_the_kernel():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, len(quality.NAMES)))
+    z = quality.fourier(x, np.zeros(x.shape[1]), np.ones(x.shape[1]))[:, :-1]
+    gap = ((x[:, None] - x[None]) ** 2).sum(2) / x.shape[1]
+    assert np.abs(z @ z.T - np.exp(-gap / 2)).mean() < 0.08
