@@ -14,28 +14,33 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.functions.ship import ship
 from tessera.llm import bpe, mixing, ngram_join, quality, secrets
 from tessera.llm.queries import vocabulary_path
-from tessera.llm.spark_util import Stage, small_batches
+from tessera.llm.spark_util import Stage, drop_since, small_batches, stages_made
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows with a score of 0.5 and more; null and empty texts are scored like others, repeated rows stay repeated."""
     return quality.keep_good(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component; texts without words are alone in theirs, rows without a doc_id stay."""
     ship(spark)
     return ngram_join.near_duplicate_keepers(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, secrets masked and n_chars of changed texts counted anew; a null text stays null."""
     small_batches(ship(spark))
     return secrets.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in the order of the mixture; a null source is a source."""
     return mixing.mixed_order(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and both digests of each row; a null text is an empty one."""
     small_batches(ship(spark))
     return bpe.encode_decode(docs, vocabulary_path())
 
@@ -57,5 +62,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = Stage(ship(spark), "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, function) in enumerate(STAGES):
+        mark = stages_made()
         docs = stage.save(function(spark, docs, sf_dir), f"stage-{k}")
+        drop_since(mark)  # what the stage's operator had staged
+        if k:
+            stage.drop(f"stage-{k - 1}")
     return docs
