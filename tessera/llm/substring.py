@@ -52,11 +52,10 @@ def cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     begin = offs[:-1][np.diff(offs) > 0]
     for a, b in zip(offs[:-1], offs[1:], strict=True):
         h[a : min(a + WINDOW - 1, b)] = 0xFFFFFFFF  # hashes that reach into another text
-    low = _least(h, REACH)
+    low = np.append(_least(h, REACH), np.uint32(0xFFFFFFFF))
     ok = np.zeros(len(h), bool)
-    if len(h) > 2 * REACH:
-        mid = slice(REACH, len(h) - 1)
-        ok[mid] = (h[mid] < low[: len(h) - 1 - REACH]) & (h[mid] <= low[REACH + 1 :]) & (h[mid] != 0xFFFFFFFF)
+    if len(h) > REACH:
+        ok[REACH:] = (h[REACH:] < low[: len(h) - REACH]) & (h[REACH:] <= low[REACH + 1 :]) & (h[REACH:] != 0xFFFFFFFF)
     at = np.flatnonzero(ok)
     for _ in range(3):  # to the start of a character
         inside = (at < len(buf)) & ((buf[np.minimum(at, len(buf) - 1)] & 0xC0) == 0x80)
