@@ -13,10 +13,12 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (tests, single machines) a folder of our own that goes at exit."""
+    """spark.checkpoint.dir; where that is unset, a folder of our own that goes at exit, on a single machine only."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tessera-"))
         atexit.register(shutil.rmtree, _OWN[0], True)

@@ -15,13 +15,12 @@ def shingles(df: DataFrame, id_: str, text: str, width: int, shown: bool = False
 
     hash is a 64-bit number, or, where it is to be shown, the md5.
     """
-    digest = (lambda c: F.md5(c.cast("binary"))) if shown else F.xxhash64
     words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size("__w") - width),
-        lambda i: F.struct(i.cast("bigint").alias("pos"), digest(F.array_join(F.slice("__w", i + 1, width), " ")).alias("hash")),
-    )
-    return df.select(id_, words.alias("__w")).where(F.size("__w") >= width).select(id_, F.inline(grams))
+    # the words are written out first, so that hashing is compiled code over the array, without a text for each run
+    rows = df.select(id_, words.alias("__w")).where(F.size("__w") >= width).select(id_, "__w", F.posexplode("__w").alias("__p", "__x"))
+    run = [F.col("__w")[F.col("__p") + k] for k in range(width)]
+    digest = F.md5(F.concat_ws(" ", *run).cast("binary")) if shown else F.xxhash64(*run)
+    return rows.where(F.col("__p") + width <= F.size("__w")).select(id_, F.col("__p").cast("bigint").alias("pos"), digest.alias("hash"))
 
 
 def offset_pairs(index: DataFrame, asked: DataFrame) -> DataFrame:
@@ -36,17 +35,24 @@ def offset_histogram(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def stop_hashes(df: DataFrame, id_: str, ratio: float) -> DataFrame:
-    """Hashes that more than that part of the ids hold."""
-    held = df.select("hash", id_).distinct().groupBy("hash").agg(F.count("*").alias("df"))
+    """Hashes that more than that part of the ids hold, and how many hold them.
+
+    A hash of more ids has more rows, too: only those with rows enough are counted by id.
+    """
     total = df.agg(F.count_distinct(id_).alias("__t"))
-    return held.join(F.broadcast(total), F.col("df") > F.floor(F.col("__t") * ratio)).select("hash", "df")
+    often = df.groupBy("hash").agg(F.count("*").alias("__n")).join(F.broadcast(total), F.col("__n") > F.floor(F.col("__t") * ratio))
+    held = df.join(often.select("hash", "__t"), "hash").select("hash", id_, "__t").distinct()
+    return held.groupBy("hash").agg(F.count("*").alias("df"), F.first("__t").alias("__t")).where(F.col("df") > F.floor(F.col("__t") * ratio)).select("hash", "df")
 
 
 def containment(index: DataFrame, asked: DataFrame, i_id: str, q_id: str, least: float) -> DataFrame:
-    """Which part of an asked id's distinct hashes an index id holds, where it is at least `least`."""
-    a, b = index.select(i_id, "hash").distinct(), asked.select(q_id, "hash").distinct()
+    """Which part of an asked id's distinct hashes an index id holds, where it is at least `least`.
+
+    The index meets the asked hashes before it is made distinct, so only what matches is shuffled.
+    """
+    b = asked.select(q_id, "hash").distinct()
     total = b.groupBy(q_id).agg(F.count("*").alias("total"))
-    common = a.join(b, "hash").groupBy(i_id, q_id).agg(F.count("*").alias("matched"))
+    common = index.select(i_id, "hash").join(b, "hash").distinct().groupBy(i_id, q_id).agg(F.count("*").alias("matched"))
     return common.join(total, q_id).where(F.col("matched") >= F.col("total") * least)
 
 

@@ -6,6 +6,7 @@ a table with Arrow-batched pandas. Keys must be real ones: a group is held by on
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -45,6 +46,8 @@ def indel_ratio(a: str, b: str) -> int:
     """0 to 100: twice the longest common subsequence over both lengths, rounded half to even."""
     if not a and not b:
         return 100
+    if a == b:
+        return 100
     row = [0] * (len(b) + 1)
     for x in a:
         last = 0
@@ -53,46 +56,95 @@ def indel_ratio(a: str, b: str) -> int:
     return round(200 * row[-1] / (len(a) + len(b)))
 
 
-def merge_consecutive(gap: int, short: int, echo: int) -> Fold:
-    """Rows (start, end, text) that follow the growing row within gap and say the same.
+def alike(a: str, b: str, least: float = 0.7) -> bool:
+    """Equal, or neither empty and alike by that share of the longer."""
+    if a == b:
+        return True
+    if not a or not b:
+        return False
+    return 1 - distance(a, b) / max(len(a), len(b)) >= least
+
+
+def visible(text: str) -> str:
+    """A text without its {...} marks and outer white space."""
+    return re.sub(r"\{[^}]*\}", "", text).strip()
 
-    Texts are the same if equal; one letter may differ where a row is short; an echo that begins where
-    the row ended and is shorter than `echo` need only be alike by seven tenths. No lower bound of the
-    gap. The end becomes the last row's end.
-    """
 
-    def same(cur: dict, row: dict) -> bool:
-        a, b = cur["text"], row["text"]
-        if a == b:
-            return True
-        if min(cur["end"] - cur["start"], row["end"] - row["start"]) < short and distance(a, b) == 1:
-            return True
-        is_echo = row["start"] == cur["end"] and row["end"] - row["start"] < echo
-        return is_echo and 10 * distance(a, b) <= 3 * max(len(a), len(b), 1)
+def merge_consecutive(gap: int, short: int, echo: int, look: Sequence[str] = ()) -> Fold:
+    """Rows (start, end, text and the `look` columns) that follow the growing row within gap and say the same.
+
+    Texts are compared without their marks; they say the same if equal, or if one letter differs and the
+    row that began the growing one, or the next, is short. At a gap of none, variants of one text (seven
+    tenths) join where the next row is shorter than `echo`, and, where the first row is that short, the
+    next one's text takes over. All `look` columns must be equal; a row without times joins nothing. There
+    is no lower bound of the gap. The end becomes the last row's end.
+    """
 
     def fold(rows: list[dict]) -> list[dict]:
         out: list[dict] = []
+        first: dict = {}
         for row in rows:
-            if out and row["start"] - out[-1]["end"] <= gap and same(out[-1], row):
-                out[-1]["end"], out[-1]["n_rows"] = row["end"], out[-1]["n_rows"] + 1
+            cur = out[-1] if out else None
+            joins = False
+            if cur and cur["end"] is not None and row["start"] is not None and all(first[c] == row[c] for c in look):
+                step = row["start"] - cur["end"]
+                own = None if first["start"] is None or first["end"] is None else first["end"] - first["start"]
+                its = None if row["end"] is None else row["end"] - row["start"]
+                a, b = visible(cur["text"]), visible(row["text"])
+                if step == 0 and own is not None and its is not None and alike(a, b) and min(own, its) < echo:
+                    joins = True
+                    if its >= echo:
+                        cur["text"] = row["text"]
+                elif step <= gap:
+                    brief = (own is not None and own < short) or (its is not None and its < short)
+                    joins = a == b or (brief and distance(a, b) == 1)
+            if joins:
+                cur["end"], cur["n_rows"] = row["end"], cur["n_rows"] + 1
             else:
-                out.append({"start": row["start"], "end": row["end"], "text": row["text"], "n_rows": 1})
+                first = row
+                out.append({k: row[k] for k in ("start", "end", "text", *look)} | {"n_rows": 1})
         return out
 
     return fold
 
 
-def merge_alternating(rows: list[dict]) -> list[dict]:
-    """Runs A B A (B A ...) of three rows or more become one row of A; greedy from the left, no overlaps."""
-    out, i = [], 0
-    while i < len(rows):
-        j = i
-        while j + 2 < len(rows) and rows[j]["text"] == rows[j + 2]["text"] != rows[j + 1]["text"]:
-            j += 1
-        stop = j + 1 if j > i else i
-        out.append({"start": rows[i]["start"], "end": rows[stop]["end"], "text": rows[i]["text"], "n_rows": stop - i + 1})
-        i = stop + 1
-    return out
+def merge_alternating(look: Sequence[str] = ()) -> Fold:
+    """Runs A B A (B A ...) of two variants without gaps become one row of A; greedy from the left, no overlaps.
+
+    The first three must be exact, A and B alike by seven tenths; what follows may differ by a tenth from
+    the one that is due.
+    """
+
+    def fold(rows: list[dict]) -> list[dict]:
+        said = [visible(r["text"]) for r in rows]
+        fits = lambda i, j: rows[j - 1]["end"] is not None and rows[j - 1]["end"] == rows[j]["start"] and all(rows[i][c] == rows[j][c] for c in look)
+        out, i = [], 0
+        while i < len(rows):
+            stop = i
+            if i + 2 < len(rows) and fits(i, i + 1) and fits(i, i + 2) and said[i] == said[i + 2] != said[i + 1] and alike(said[i], said[i + 1]):
+                stop = i + 2
+                while stop + 1 < len(rows) and fits(i, stop + 1) and alike(said[stop + 1], said[i + (stop + 1 - i) % 2], 0.9):
+                    stop += 1
+            out.append({k: rows[i][k] for k in ("start", "text", *look)} | {"end": rows[stop]["end"], "n_rows": stop - i + 1})
+            i = stop + 1
+        return out
+
+    return fold
+
+
+def gap_clusters(reach: float, file: str) -> Fold:
+    """Rows (middle, file, at) numbered by cluster: a row joins the open one while within reach of its first middle, once a file."""
+
+    def fold(rows: list[dict]) -> list[dict]:
+        out, nth, anchor, files = [], -1, 0.0, set()
+        for r in rows:
+            if nth < 0 or r["middle"] - anchor > reach or r[file] in files:
+                nth, anchor, files = nth + 1, r["middle"], set()
+            files.add(r[file])
+            out.append({file: r[file], "at": r["at"], "cluster": nth})
+        return out
+
+    return fold
 
 
 def merge_readings(gap: int, ratio: int) -> Fold:
@@ -139,22 +191,6 @@ def spread_order(rows: list[dict]) -> list[dict]:
     return [{"at": a, "place": k} for k, a in enumerate(taken)]
 
 
-def anchored_clusters(reach: int) -> Fold:
-    """Positions join the open cluster while within reach of its first position, not of the one before."""
-
-    def fold(rows: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        for r in rows:
-            if out and r["at"] - out[-1]["anchor"] <= reach:
-                out[-1]["files"].add(r["file"])
-                out[-1]["n_rows"] += 1
-            else:
-                out.append({"anchor": r["at"], "files": {r["file"]}, "n_rows": 1})
-        return [{"anchor": c["anchor"], "n_files": len(c["files"]), "n_rows": c["n_rows"]} for c in out]
-
-    return fold
-
-
 def online_clusters(reach: float, idle: int) -> Fold:
     """Observations (at, x) join the first open cluster whose running centre is within reach and that was seen lately."""
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import supports
+
 Keys = Sequence[str]
 
 
@@ -51,6 +53,37 @@ def modal(df: DataFrame, keys: Keys, value: str, weight: str, order: str) -> Dat
     return votes.groupBy(*keys).agg(F.max_by(value, best).alias(value), F.max("votes").alias("votes"))
 
 
+def modal_reading(df: DataFrame, keys: Keys, text: str, confidence: str, place: str, least: int = 3) -> DataFrame:
+    """Each group's reading with the most support, where its readable places form one band.
+
+    A row supports a text if the two are near readings. Ties: more exact repeats, the higher mean
+    confidence, the lower first place. No row for a group whose best has less than `least` support, whose
+    readable places (0, 1, ...) have more than one hole, or one of two places and more. Empty and null
+    texts are unreadable.
+    """
+    rows = df.where(F.col(text) != "")
+    votes = rows.groupBy(*keys, text).agg(F.count("*").alias("exact"), F.avg(confidence).alias("mean"), F.min(place).alias("__o"))
+    others = votes.select(*keys, F.col(text).alias("__t"), F.col("exact").alias("__n"))
+    support = votes.join(others, [*keys]).where(supports(F.col(text), F.col("__t"))).groupBy(*keys, text, "exact", "mean", "__o").agg(F.sum("__n").alias("support"))
+    best = F.struct("support", "exact", "mean", -F.col("__o"))
+    chosen = support.groupBy(*keys).agg(F.max_by(text, best).alias(text), F.max("support").alias("support")).where(F.col("support") >= least)
+    step = F.col(place) - F.lag(place).over(Window.partitionBy(*keys).orderBy(place))
+    bands = rows.select(*keys, step.alias("__s")).groupBy(*keys).agg(F.count_if(F.col("__s") > 1).alias("__h"), F.max("__s").alias("__m"))
+    bands = bands.where((F.col("__h") <= 1) & (F.coalesce("__m", F.lit(1)) <= 2))
+    return chosen.join(bands.select(*keys), [*keys], "left_semi")
+
+
+def reading_confidence(df: DataFrame, keys: Keys, text: str, confidence: str) -> DataFrame:
+    """The mean confidence of each group's words; 100 where all texts are empty, 0 where no confidence is known."""
+    out = df.groupBy(*keys).agg(F.avg(F.when(F.col(text) != "", F.col(confidence))).alias("__m"), F.count_if(F.col(text) != "").alias("__n"))
+    return out.select(*keys, F.when(F.col("__n") == 0, 100.0).otherwise(F.coalesce("__m", F.lit(0.0))).alias("confidence"))
+
+
+def surest(df: DataFrame, keys: Keys, text: str, confidence: str, order: str) -> DataFrame:
+    """Each group's text of the largest confidence; the first on ties."""
+    return df.groupBy(*keys).agg(F.max_by(text, F.struct(confidence, -F.col(order))).alias(text))
+
+
 def best_reading(df: DataFrame, keys: Keys, text: str, confidence: str, order: str) -> DataFrame:
     """The longest text of each group, then the surest, then the first; and the first and last place of the whole group."""
     best = F.struct(F.length(text), F.col(confidence), -F.col(order))

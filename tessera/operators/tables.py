@@ -78,3 +78,21 @@ def nearest(points: DataFrame, centres: DataFrame, keys: Keys, x: str, cx: str,
     lists = centres.groupBy(*keys).agg(F.collect_list(F.struct(F.col(cx).alias("c"), F.col(cid).alias("i"))).alias("__cs"))
     near = F.array_min(F.transform("__cs", lambda c: F.struct(F.abs(c["c"] - F.col(x)).alias("d"), c["i"].alias("i"))))
     return points.join(lists, list(keys), "left").withColumn("__m", near).withColumn("centre", F.when(F.col("__m.d") <= most, F.col("__m.i"))).drop("__cs", "__m")
+
+
+def contained(inner: DataFrame, outer: DataFrame, keys: Sequence[str], id_: str, slack: float = 0) -> DataFrame:
+    """(keys, inner, outer): boxes (x0, y0, x1, y1) that lie in another of equal keys, but for `slack` on each side."""
+    a = inner.select(*keys, F.col(id_).alias("inner"), *[F.col(c).alias(f"__{c}") for c in ("x0", "y0", "x1", "y1")])
+    b = outer.select(*keys, F.col(id_).alias("outer"), "x0", "y0", "x1", "y1")
+    inside = (F.col("__x0") >= F.col("x0") - slack) & (F.col("__y0") >= F.col("y0") - slack) & (F.col("__x1") <= F.col("x1") + slack) & (F.col("__y1") <= F.col("y1") + slack)
+    return a.join(b, [*keys]).where(inside & (F.col("inner") != F.col("outer"))).select(*keys, "inner", "outer")
+
+
+def bulk_targets(df: DataFrame, source: Column, skipped: Column, name: str) -> DataFrame:
+    """The row a change comes from and all rows that are not skipped, numbered by name."""
+    return df.where(source | ~F.coalesce(skipped, F.lit(False))).withColumn("place", F.row_number().over(Window.orderBy(name)) - 1)
+
+
+def ordered_times(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """Each key's distinct times in order."""
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_set(at)).alias("times"))

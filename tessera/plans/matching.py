@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.clock import MICROS
+from tessera.functions.shared import fresh_dir
 from tessera.operators import fingerprints, ordered
 
 from .catalog import register, table
@@ -70,7 +71,10 @@ def stop_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, count(*) AS n_kept FROM d WHERE hash NOT IN (SELECT hash FROM s) GROUP BY doc_id""",
 )
 def stop_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = grams(spark, sf_dir, "documents", "doc_id")
+    # read three times below, so it is written once
+    path = fresh_dir(spark, "grams")
+    grams(spark, sf_dir, "documents", "doc_id").select("doc_id", "hash").write.parquet(path)
+    d = spark.read.parquet(path)
     return d.join(fingerprints.stop_hashes(d, "doc_id", 0.01), "hash", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n_kept"))
 
 

@@ -51,3 +51,21 @@ def write(df: DataFrame, path: str, document: str = "document", order: str = "st
     lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l")))), lambda x: x["l"])
     out = df.groupBy(document).agg(F.concat_ws("\n", F.lit(HEADER), F.array_join(lines, "\n")).alias("value"))
     out.write.partitionBy(document).text(path)
+
+
+def merged(lines: DataFrame, keys: list[str], document: str = "document", order: str = "ord", line: str = "line") -> DataFrame:
+    """(keys, place, line): the documents of each key as one: what is no dialogue in the first of them, then all
+    dialogue lines by start, ties by document and place. A single document stays as it is.
+
+    A dialogue line whose start cannot be read counts as starting at 0.
+    """
+    whole = Window.partitionBy(*keys)
+    rows = lines.withColumn("__first", F.min(document).over(whole)).withColumn("__one", F.col("__first") == F.max(document).over(whole))
+    shown = F.trim(F.col(line))
+    said = shown.startswith("Dialogue:")
+    start = F.coalesce(clock.centis_of_code(F.trim(F.get(F.split(shown, ",", 3), F.lit(1)))), F.lit(0)).cast("bigint")
+    rows = rows.where(F.col("__one") | said | (F.col(document) == F.col("__first")))
+    moved = ~F.col("__one") & said
+    rows = rows.withColumn("__k", F.when(moved, 1).otherwise(0)).withColumn("__s", F.when(moved, start).otherwise(F.lit(0).cast("bigint")))
+    place = F.row_number().over(whole.orderBy("__k", "__s", document, order)) - 1
+    return rows.select(*keys, place.alias("place"), F.when(moved, shown).otherwise(F.col(line)).alias("line"))

@@ -1,4 +1,4 @@
-"""Folds on small hand cases, and each against a plain run over the same rows."""
+"""Folds on small hand cases; test_oracles and test_twins hold them against other versions on the tables."""
 
 import harness
 import pytest
@@ -22,12 +22,25 @@ def test_merge_consecutive():
     assert [r["n_rows"] for r in fold([row(0, 100, "hello"), row(140, 200, "hello"), row(260, 300, "hello")])] == [2, 1]
     assert [r["n_rows"] for r in fold([row(0, 100, "hello"), row(100, 120, "hallo")])] == [2]
     assert [r["n_rows"] for r in fold([row(0, 100, "hello"), row(100, 140, "hallo")])] == [1, 1]
-    assert [(r["end"], r["n_rows"]) for r in fold([row(0, 300, "x"), row(10, 50, "x")])] == [(50, 2)]
+    assert [(r["end"], r["n_rows"]) for r in fold([row(0, 500, "x"), row(100, 200, "x")])] == [(200, 2)]
+    assert [(r["text"], r["n_rows"]) for r in fold([row(0, 100, "{\\b1}hello"), row(100, 200, "hello")])] == [("{\\b1}hello", 2)]
+    # a short first row hands its text over; a short next one does not
+    assert [r["text"] for r in fold([row(0, 4, "hello wqrld"), row(4, 100, "hello world")])] == ["hello world"]
+    assert [r["text"] for r in fold([row(0, 100, "hello world"), row(100, 104, "hello wqxld")])] == ["hello world"]
+    assert len(fold([row(0, None, "x"), row(0, 5, "x")])) == 2
+    styled = folds.merge_consecutive(50, 25, 5, ["style"])
+    assert len(styled([row(0, 9, "x", style="A"), row(9, 20, "x", style="B")])) == 2
 
 
 def test_merge_alternating():
-    rows = [row(k, k + 1, t) for k, t in enumerate("ABABCC")]
-    assert [(r["text"], r["n_rows"]) for r in folds.merge_alternating(rows)] == [("A", 4), ("C", 1), ("C", 1)]
+    fold = folds.merge_alternating()
+    texts = lambda letters: [row(k, k + 1, f"line {t}") for k, t in enumerate(letters)]
+    assert [(r["text"], r["n_rows"]) for r in fold(texts("ABABCC"))] == [("line A", 4), ("line C", 1), ("line C", 1)]
+    assert [r["n_rows"] for r in fold(texts("ABCAB"))] == [1, 1, 1, 1, 1]
+    assert [r["n_rows"] for r in fold([row(0, 1, "A"), row(1, 2, "B"), row(2, 3, "A")])] == [1, 1, 1]  # no variants
+    apart = texts("ABA")
+    apart[2]["start"] = 5
+    assert len(fold(apart)) == 3
 
 
 def test_merge_readings_follows_the_surest_text():
@@ -46,10 +59,13 @@ def test_suppression(points):
     assert all(any(abs(r["at"] - k["at"]) <= 5 and k["value"] >= r["value"] for k in kept) for r in rows)
 
 
-def test_spread_order_and_anchors():
+def test_spread_order():
     assert [r["at"] for r in folds.spread_order([{"at": a} for a in (0, 1, 5, 10)])] == [0, 10, 5, 1]
-    out = folds.anchored_clusters(10)([{"at": a, "file": a % 2} for a in (0, 6, 10, 14, 24)])
-    assert [(c["anchor"], c["n_rows"]) for c in out] == [(0, 3), (14, 2)]
+
+
+def test_gap_clusters():
+    rows = [{"middle": m, "f": f, "at": m} for m, f in ((0, 1), (6, 2), (9, 1), (12, 3), (25, 2))]
+    assert [r["cluster"] for r in folds.gap_clusters(10, "f")(rows)] == [0, 0, 1, 1, 2]
 
 
 def test_online_clusters_and_fixpoint():
@@ -78,27 +94,13 @@ def test_tracker_state_survives_a_break():
     assert again == out
 
 
-def test_stream_state_machine_equals_its_fold(spark):
-    from tessera.plans import catalog
-
-    q = catalog.queries()
-    stream = harness.spark_rows(q["stream_state_machine"](spark, harness.DATA))[1]
-    batch = harness.spark_rows(q["frame_state_machine"](spark, harness.DATA))[1]
-    last = {}
-    for r in batch:  # the fold also ends its last run
-        if r[1] == "done":
-            last[r[2]] = max(last.get(r[2], -1), int(r[0]))
-    extra = [r for r in batch if not (r[1] == "done" and int(r[0]) == last[r[2]])]
-    assert sorted(extra) == [r for r in stream if r in set(extra)] and set(extra) <= set(stream)
-
-
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.comp for r in graph.components(edges, "a", "b").collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
 
 
-@pytest.mark.parametrize("name", ["merge_consecutive_full", "online_cluster", "dup_fixpoint"])
+@pytest.mark.parametrize("name", ["merge_consecutive_full", "merge_alternating", "online_cluster", "dup_fixpoint"])
 def test_folds_cover_all_rows(spark, name):
     from tessera.plans import catalog
     from tessera.plans.rows import events
