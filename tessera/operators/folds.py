@@ -324,3 +324,36 @@ def batches(near: float) -> Fold:
         return [{"start": min(r["start"] for r in g), "end": max(r["end"] for r in g), "n_rows": len(g)} for g in groups]
 
     return fold
+
+
+def text_lines(rows: list[dict]) -> list[dict]:
+    """Words (id, center, size) numbered by line: each joins the first line that has a word whose centre lies
+    within half of both sizes' mean."""
+    lines: list[list[dict]] = []
+    out = []
+    for r in rows:
+        nth = next((k for k, line in enumerate(lines) if any(abs(r["center"] - w["center"]) <= (r["size"] + w["size"]) / 4 for w in line)), len(lines))
+        if nth == len(lines):
+            lines.append([])
+        lines[nth].append(r)
+        out.append({"id": r["id"], "line": nth})
+    return out
+
+
+def content_segments(ratio: int) -> Fold:
+    """Readings (at, text, confidence) in order, cut where one is not like the surest of the segment so far.
+
+    A segment's text is its longest reading, then the surest, then the first.
+    """
+
+    def fold(rows: list[dict]) -> list[dict]:
+        groups: list[list[dict]] = []
+        for r in rows:
+            if groups and indel_ratio(max(groups[-1], key=lambda x: x["confidence"])["text"], r["text"]) >= ratio:
+                groups[-1].append(r)
+            else:
+                groups.append([r])
+        best = [max(g, key=lambda x: (len(x["text"]), x["confidence"])) for g in groups]
+        return [{"start": g[0]["at"], "end": g[-1]["at"], "text": b["text"], "confidence": b["confidence"], "n_rows": len(g)} for g, b in zip(groups, best, strict=True)]
+
+    return fold

@@ -122,3 +122,10 @@ def widest_run(df: DataFrame, keys: Keys, at: str) -> DataFrame:
     runs = out.groupBy(*keys, "__i").agg(F.min(at).alias("run_start"), F.max(at).alias("run_end"))
     runs = runs.withColumn("__k", F.struct(F.col("run_end") - F.col("run_start"), "run_start"))
     return runs.groupBy(*keys).agg(F.max_by("run_start", "__k").alias("run_start"), F.max_by("run_end", "__k").alias("run_end"))
+
+
+def padded_runs(runs: DataFrame, start: str, end: str, least: int, before: int, behind: int) -> DataFrame:
+    """Runs of at least that length with pads on both sides, the start not below 0, and their length without them."""
+    size = F.col(end) - F.col(start)
+    out = runs.withColumn("length", size).where(F.col("length") >= least)
+    return out.withColumn(start, F.greatest(F.col(start) - before, F.lit(0))).withColumn(end, F.col(end) + behind)

@@ -42,4 +42,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["interval_union"](spark, sf_dir)
 
 
-from . import folded, matching, more, rows, rules, scalars, sets, summary  # noqa: E402, F401  (enter their queries)
+from . import folded, layout, matching, more, rows, rules, scalars, sets, summary  # noqa: E402, F401  (enter their queries)

@@ -108,3 +108,26 @@ def test_no_local_folder_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         shared.shared_dir(Session())
+
+
+def test_content_keys(spark, tmp_path):
+    import hashlib
+
+    from tessera.sources import media
+
+    big = bytes(range(256)) * 12_000
+    for name, data in (("a", b"abc"), ("b", big), ("c", b""), ("moved", big)):
+        (tmp_path / name).write_bytes(data)
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in ("a", "b", "c", "moved", "missing")] + [(None,)], "path string")
+    got = {r.path and r.path.rsplit("/", 1)[1]: r.key for r in media.content_keys(paths).collect()}
+    plain = lambda d: hashlib.blake2b(len(d).to_bytes(8, "little") + d[: 1 << 20] + d[-(1 << 20) :], digest_size=16).hexdigest()
+    assert got == {"a": plain(b"abc"), "b": plain(big), "c": plain(b""), "moved": plain(big), "missing": None, None: None}
+
+
+def test_stacked_boxes(spark):
+    from tessera.operators import boxes
+
+    rows = [(1, 0, 0.0, 0.0, 10.0, 40.0), (1, 1, 12.0, 0.0, 22.0, 10.0), (1, 2, 12.5, 12.0, 22.5, 22.0), (1, 3, 12.0, 40.0, 52.0, 50.0), (1, 4, 80.0, 0.0, 90.0, 10.0), (2, 0, 12.0, 0.0, 22.0, 10.0), (2, 1, 12.0, 12.0, 22.0, 22.0)]
+    df = spark.createDataFrame(rows, "f long, id long, x0 double, y0 double, x1 double, y1 double")
+    out = {(r.f, r.id): (r.n_boxes, r.y0, r.y1) for r in boxes.stacked(df, ["f"], "id", 200).collect()}
+    assert out == {(1, 0): (1, 0, 40), (1, 1): (2, 0, 22), (1, 3): (1, 40, 50), (1, 4): (1, 0, 10), (2, 0): (1, 0, 10), (2, 1): (1, 12, 22)}

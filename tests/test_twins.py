@@ -137,7 +137,41 @@ def spectrum_peaks():
     return out
 
 
-TWINS = {f.__name__: f for f in (subtitle_merge, dup_fixpoint, near_pairs_indel, seeded_draw, spatial_batches, spectrum_peaks)}
+def text_lines():
+    frames = {}
+    for r in sorted(read("lineitem"), key=lambda r: (r["l_partkey"], r["l_suppkey"], r["l_quantity"], r["l_extendedprice"])):
+        top = r["l_suppkey"] % 7 * 20
+        bottom = top + r["l_quantity"] * (0.5 + r["l_partkey"] % 4 * 0.75)
+        frames.setdefault(r["l_orderkey"], []).append((len(frames.get(r["l_orderkey"], [])) + 1, (top + bottom) / 2, bottom - top))
+    out = []
+    for f, words in frames.items():
+        line = {}
+        for k, (i, c, h) in enumerate(words):
+            near = [line[j] for j, (_, d, g) in enumerate(words[:k]) if abs(c - d) <= (h + g) / 2 * 0.5]
+            line[k] = min(near, default=len(set(line.values())))
+            out.append({"f": f, "id": i, "line": line[k]})
+    return out
+
+
+def content_segments():
+    out = []
+    for user, rows in by_user(read("events")).items():
+        segments = []
+        for at, r in enumerate(sorted(rows, key=lambda r: r["event_id"])):
+            text = "" if r["event_id"] % 9 == 0 else r["event_type"][: len(r["event_type"]) - r["event_id"] % 3]
+            if segments:
+                surest = sorted(segments[-1], key=lambda x: -x[2])[0]
+            if segments and ratio(surest[1], text) >= 60:
+                segments[-1].append((at, text, r["value"]))
+            else:
+                segments.append([(at, text, r["value"])])
+        for g in segments:
+            _, text, confidence = sorted(g, key=lambda x: (-len(x[1]), -x[2]))[0]
+            out.append({"user_id": user, "start": g[0][0], "end": g[-1][0], "text": text, "confidence": confidence, "n_rows": len(g)})
+    return out
+
+
+TWINS = {f.__name__: f for f in (subtitle_merge, dup_fixpoint, near_pairs_indel, seeded_draw, spatial_batches, spectrum_peaks, text_lines, content_segments)}
 
 
 @pytest.mark.parametrize("name", sorted(TWINS))
