@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_util import Stage, connected_components, partitions
+from .spark_util import Stage, connected_components, join_groups, partitions
 from .text_util import blocks, hash_spans, lowered, release, windows, words
 
 WIDTH, PERCENT = 5, 80
@@ -333,10 +333,10 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text
     links = class_links(docs, member, stage, width, percent, text, alike)
     comps = connected_components(links, stage)
     lowest = member.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
-    lowest = lowest.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    lowest = stage.save(lowest.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "lowest")
     whole = lowest.groupBy("comp").agg(F.min("low").alias("component_id"))
-    of_class = stage.save(lowest.join(whole, "comp").select("cls", "component_id"), "classes")
-    stage.drop("links", "cc", "cc-both")
+    of_class = stage.save(join_groups(lowest, whole, "comp", "cls", stage).select("cls", "component_id"), "classes")
+    stage.drop("links", "cc", "cc-both", "lowest", "often-comp")
     return member.join(of_class, "cls", "left").select(
         "doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )

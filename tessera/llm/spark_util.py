@@ -85,6 +85,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, by: str, stage: Stage, most: int = 512) -> DataFrame:
+    """rows with the columns of `groups`, which has one row for each key; keys of more than `most` rows are dealt by `by`.
+
+    Few keys are so large, so that marking their rows needs no shuffle, or one whose large keys the planner splits.
+    """
+    often = stage.save(rows.groupBy(key).agg(F.count("*").alias("many")).where(F.col("many") > most), f"often-{key}")
+    parts = F.coalesce(F.ceil(F.col("many") / most), F.lit(1)).cast("int")
+    a = rows.join(often, key, "left").withColumn("part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("many")
+    b = groups.join(often, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("many")
+    return a.join(b, [key, "part"]).drop("part")
+
+
 #: Edges that one task of a contraction holds on average.
 TASK_EDGES = 500_000
 
