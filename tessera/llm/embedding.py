@@ -29,11 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_util import Stage, connected_components
+from .spark_util import Stage, connected_components, join_groups
 
 THRESHOLD = 0.9
 #: Classes of a shard on average and at most, and centroids at most (their broadcast has that bound).
-SHARD_SIZE, SHARD_MOST, CENTROIDS_MOST, FLAT_MOST, TOPS = 1024, 6000, 65_536, 2048, 6
+SHARD_SIZE, SHARD_MOST, CENTROIDS_MOST, FLAT_MOST, TOPS = 512, 2048, 65_536, 2048, 6
 #: Sampled vectors for each centroid, least and most of them; audited classes; least recall to stop at and to give.
 SAMPLE, SAMPLE_LEAST, SAMPLE_MOST = 64, 4096, 131_072
 AUDIT, AUDIT_LEAST, RECALL_LEAST = 256, 0.97, 0.9
@@ -400,7 +400,7 @@ def near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "
     comps = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")), stage)
     of = classes.drop("v").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     lowest = of.groupBy("comp").agg(F.min("low").alias("component_id"))
-    of = of.join(lowest, "comp").join(counts, "cls", "left").select("cls", "component_id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    of = join_groups(of, lowest, "comp", "cls", stage).join(counts, "cls", "left").select("cls", "component_id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     out = rows.select("vec_id", "cls").join(of, "cls", "left")
     comp = F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select(
