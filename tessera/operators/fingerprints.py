@@ -15,12 +15,13 @@ def shingles(df: DataFrame, id_: str, text: str, width: int, shown: bool = False
 
     hash is a 64-bit number, or, where it is to be shown, the md5.
     """
-    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    # the words are written out first, so that hashing is compiled code over the array, without a text for each run
-    rows = df.select(id_, words.alias("__w")).where(F.size("__w") >= width).select(id_, "__w", F.posexplode("__w").alias("__p", "__x"))
-    run = [F.col("__w")[F.col("__p") + k] for k in range(width)]
+    words = F.split(F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    # each word is written out beside the next ones, so that hashing is compiled code, without a text for each run
+    beside = [F.slice("__w", k + 1, 1 << 30).alias(f"w{k}") for k in range(width)]
+    rows = df.select(id_, words.alias("__w")).select(id_, F.posexplode(F.arrays_zip(*beside)).alias("__p", "__r"))
+    run = [F.col(f"__r.w{k}") for k in range(width)]
     digest = F.md5(F.concat_ws(" ", *run).cast("binary")) if shown else F.xxhash64(*run)
-    return rows.where(F.col("__p") + width <= F.size("__w")).select(id_, F.col("__p").cast("bigint").alias("pos"), digest.alias("hash"))
+    return rows.where(run[-1].isNotNull() & (run[0] != "")).select(id_, F.col("__p").cast("bigint").alias("pos"), digest.alias("hash"))
 
 
 def offset_pairs(index: DataFrame, asked: DataFrame) -> DataFrame:

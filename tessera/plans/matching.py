@@ -19,6 +19,13 @@ def grams(spark: SparkSession, sf_dir: str, name: str, id_: str) -> DataFrame:
     return fingerprints.shingles(table(spark, sf_dir, name), id_, "text", WIDTH)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: it is computed once, and the planner knows its size when it joins it."""
+    path = fresh_dir(df.sparkSession, "grams")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _grams(name: str, id_: str) -> str:
     return f"""SELECT {id_}, unnest(range(0, len(w) - 4)) AS pos, unnest(list_transform(range(0, len(w) - 4), lambda i: md5(array_to_string(w[i + 1:i + 5], ' ')))) AS hash
     FROM (SELECT {id_}, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {name}) WHERE len(w) >= 5"""
@@ -32,7 +39,7 @@ _BOTH = f"WITH d AS ({_grams('documents', 'doc_id')}), b AS ({_grams('benchmark'
     f"{_BOTH} SELECT item_id, doc_id, d.pos - b.pos AS delta, count(*) AS n FROM b JOIN d USING (hash) GROUP BY ALL",
 )
 def offset_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = fingerprints.offset_pairs(grams(spark, sf_dir, "benchmark", "item_id"), grams(spark, sf_dir, "documents", "doc_id"))
+    pairs = fingerprints.offset_pairs(staged(grams(spark, sf_dir, "benchmark", "item_id")), grams(spark, sf_dir, "documents", "doc_id"))
     pairs = pairs.select(F.col("i_item_id").alias("item_id"), F.col("q_doc_id").alias("doc_id"), "delta")
     return fingerprints.offset_histogram(pairs, ["item_id", "doc_id"])
 
@@ -52,7 +59,7 @@ def offset_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c AS (SELECT doc_id, item_id, count(DISTINCT hash) AS matched FROM d JOIN b USING (hash) GROUP BY ALL) SELECT item_id, doc_id, matched, total FROM c JOIN t USING (item_id) WHERE matched >= total * 0.15""",
 )
 def containment_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.containment(grams(spark, sf_dir, "documents", "doc_id"), grams(spark, sf_dir, "benchmark", "item_id"), "doc_id", "item_id", 0.15)
+    return fingerprints.containment(grams(spark, sf_dir, "documents", "doc_id"), staged(grams(spark, sf_dir, "benchmark", "item_id")), "doc_id", "item_id", 0.15)
 
 
 @register(
@@ -71,11 +78,9 @@ def stop_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, count(*) AS n_kept FROM d WHERE hash NOT IN (SELECT hash FROM s) GROUP BY doc_id""",
 )
 def stop_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # read three times below, so it is written once
-    path = fresh_dir(spark, "grams")
-    grams(spark, sf_dir, "documents", "doc_id").select("doc_id", "hash").write.parquet(path)
-    d = spark.read.parquet(path)
-    return d.join(fingerprints.stop_hashes(d, "doc_id", 0.01), "hash", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n_kept"))
+    d = staged(grams(spark, sf_dir, "documents", "doc_id").select("doc_id", "hash"))
+    stops = staged(fingerprints.stop_hashes(d, "doc_id", 0.01))
+    return d.join(stops, "hash", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n_kept"))
 
 
 @register(
@@ -85,7 +90,7 @@ def stop_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT item_id, doc_id, min(pos) AS run_start, max(pos) AS run_end, count(*) AS n_rows FROM i GROUP BY item_id, doc_id, i""",
 )
 def matched_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = fingerprints.offset_pairs(grams(spark, sf_dir, "benchmark", "item_id"), grams(spark, sf_dir, "documents", "doc_id"))
+    pairs = fingerprints.offset_pairs(staged(grams(spark, sf_dir, "benchmark", "item_id")), grams(spark, sf_dir, "documents", "doc_id"))
     places = pairs.select(F.col("i_item_id").alias("item_id"), F.col("q_doc_id").alias("doc_id"), F.col("q_pos").alias("pos")).distinct()
     return ordered.contiguous_runs(places, ["item_id", "doc_id"], "pos", 3)
 
@@ -106,7 +111,7 @@ def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{_BOTH} SELECT item_id, count(DISTINCT doc_id) AS n_docs, count(DISTINCT b.pos) AS n_anchors FROM b JOIN d USING (hash) GROUP BY item_id",
 )
 def matched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = fingerprints.offset_pairs(grams(spark, sf_dir, "benchmark", "item_id"), grams(spark, sf_dir, "documents", "doc_id"))
+    pairs = fingerprints.offset_pairs(staged(grams(spark, sf_dir, "benchmark", "item_id")), grams(spark, sf_dir, "documents", "doc_id"))
     return pairs.groupBy(F.col("i_item_id").alias("item_id")).agg(F.count_distinct("q_doc_id").alias("n_docs"), F.count_distinct("i_pos").alias("n_anchors"))
 
 
