@@ -4,7 +4,9 @@ A word's encoding is fixed by its last token and the encoding of what stands bef
 sequence is a BPE encoding exactly if each two neighbours stay apart when joined and encoded alone.
 So for each prefix one state is enough, the last token of its encoding. The distinct words of a
 block are taken in sorted order, which walks their trie depth first: the states of the prefix that a
-word shares with the one before it are kept, and only the nodes below are computed.
+word shares with the one before it are kept, and only the nodes below are computed. The tokens that
+end at a node are those of the longest token head that ends there (an automaton of token heads, made as
+the words need it).
 
 Results equal those of the tokenizers library for a vocabulary file with BPE merges, word-end
 suffix, byte-level alphabet, NFC and lower-case normalising.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .text_util import release
 
-#: Words and pairs of tokens held by a task between blocks; beyond that it starts anew.
+#: Words and pairs of tokens held by a task between blocks; beyond that it starts anew, and of the words keeps
+#: those held so far beside the new ones until these are as many.
 CACHE_WORDS, CACHE_PAIRS = 150_000, 500_000
 #: Characters of text that are split into words at a time.
 PIECE_CHARS = 1 << 20
@@ -83,11 +87,17 @@ class Tokenizer:
         if len(self.made) < len(self.merge) or any(self.made.get(p, (-1,))[0] >= r for r, x, y in self.made.values() for p in (x, y)):
             raise ValueError(f"{path}: a token is made by two merges, or before its parts")
         self.spines: tuple[dict, dict] = ({}, {})
-        self.longest = max(max(map(len, self.mid)), max(map(len, self.end)))
         self.apart: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}  # ids of words
-        self.held: dict[str, bytes] = {}  # ids of runs between white space
+        # nodes of the automaton: the head of a token each, the steps by a byte, and the tokens that end it, longest first
+        self.heads = {b[:k] for kind in (self.mid, self.end) for b in kind for k in range(len(b) + 1)}
+        self.node = {b"": 0}
+        self.head = [b""]
+        self.step: dict[int, int] = {}
+        self.mids: list[list[tuple[int, int]]] = [[]]
+        self.ends: list[list[tuple[int, int]]] = [[]]
+        self.known: tuple[dict, dict] = ({}, {})  # ids of words: of now, and of before
+        self.held: tuple[dict, dict] = ({}, {})  # ids of runs between white space, as well
 
     def _merged(self, symbols: tuple[int, ...]) -> list[int]:
         """Merge after merge, lowest rank and then leftmost first: for the symbols of one token only."""
@@ -101,17 +111,15 @@ class Tokenizer:
 
     def _stands(self, before: int, t: int) -> bool:
         """Whether t can follow `before` (-1: stand first) in an encoding."""
-        if before < 0:
-            ok = self.alone.get(t)
-            if ok is None:
-                ok = self.alone[t] = self._merged(self.base[t]) == [t]
-            return ok
         key = before << 32 | t
         ok = self.apart.get(key)
         if ok is None:
+            ok = self.alone.get(t)
+            if ok is None:
+                ok = self.alone[t] = self._merged(self.base[t]) == [t]
             if len(self.apart) > CACHE_PAIRS:
                 self.apart.clear()
-            ok = self.apart[key] = self._stands(-1, t) and not self._join(before, t)
+            ok = self.apart[key] = ok and (before < 0 or not self._join(before, t))
         return ok
 
     def _spine(self, t: int, side: int) -> list[tuple[int, int]]:
@@ -147,36 +155,53 @@ class Tokenizer:
             else:
                 j += 1
 
-    def _last(self, word: bytes, i: int, state: list[int], tokens: dict[bytes, int]) -> int:
-        """The last token of the encoding of word[:i], which ends in one of `tokens`."""
-        get, apart = tokens.get, self.apart.get
-        for j in range(max(0, i - self.longest), i):
-            t = get(word[j:i])
-            if t is not None:
-                ok = apart(state[j] << 32 | t) if j else None
-                if ok or ok is None and self._stands(state[j], t):
-                    return t
-        raise ValueError(f"no encoding for {word[:i]!r}")
-
-    def learn(self, words: set[str]) -> None:
-        """Encodings of the words, by a depth-first walk of their trie, into `known`."""
-        state, done, before = [-1], 0, b""
-        for word, text in sorted((w.encode(), w) for w in words):
-            most = min(done, len(word) - 1, len(before))
-            common = 0
+    def _go(self, at: int, byte: int) -> int:
+        """The node of the longest token head that ends with this byte behind the node's head."""
+        head = self.head[at] + bytes([byte])
+        while head not in self.heads:
+            head = head[1:]
+        to = self.node.get(head)
+        if to is None:
+            to = self.node[head] = len(self.head)
+            self.head.append(head)
+            for kind, into in ((self.mid, self.mids), (self.end, self.ends)):
+                into.append([(kind[head[k:]], len(head) - k) for k in range(len(head)) if head[k:] in kind])
+        self.step[at << 8 | byte] = to
+        return to
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Encodings of the words, by a depth-first walk of their trie."""
+        out = {}
+        # of each prefix: the last token and the node
+        state, nodes, done, before = [-1], [0], 0, b""
+        step, apart, size, pack = self.step.get, self.apart.get, self.size, struct.pack
+        for text in sorted(words):
+            word = text.encode()
+            last = len(word) - 1
+            most, common = min(done, last), 0
             while common < most and word[common] == before[common]:
                 common += 1
-            del state[common + 1 :]
-            for i in range(common + 1, len(word)):
-                state.append(self._last(word, i, state, self.mid))
-            done, before = len(word) - 1, word
-            t = self._last(word, len(word), state, self.end)
-            ids, j = [t], len(word) - self.size[t]
+            del state[common + 1 :], nodes[common + 1 :]
+            at = nodes[common]
+            for i in range(common, last + 1):
+                to = step(at << 8 | word[i])
+                at = self._go(at, word[i]) if to is None else to
+                for t, n in self.mids[at] if i < last else self.ends[at]:
+                    ok = apart(state[i + 1 - n] << 32 | t)
+                    if ok or ok is None and self._stands(state[i + 1 - n], t):
+                        break
+                else:
+                    raise ValueError(f"no encoding for {word[: i + 1]!r}")
+                state.append(t)
+                nodes.append(at)
+            done, before = last, word
+            ids, j = [t], last + 1 - size[t]
             while j:
                 t = state[j]
                 ids.append(t)
-                j -= self.size[t]
-            self.known[text] = np.array(ids[::-1], "<u4").tobytes()
+                j -= size[t]
+            out[text] = pack(f"<{len(ids)}I", *ids[::-1])
+        return out
 
     def words(self, run: str) -> list[str]:
         """The words of a run of text without white space (or of any text without special tokens)."""
@@ -199,21 +224,45 @@ class Tokenizer:
         # str.split also cuts at four control characters that are no white space here
         return _RUN.findall(text) if any(c in text for c in _CONTROLS) else text.split()
 
+    @staticmethod
+    def _room(held: tuple[dict, dict], asked: set[str]) -> tuple[tuple[dict, dict], set[str]]:
+        """What is held, with those of the asked that it has in the first part, and the asked that it has not."""
+        now, old = held
+        new = asked.difference(now)
+        if len(now) + len(new) > CACHE_WORDS:
+            now, old, new = {}, now, asked
+        found = [x for x in new if x in old]
+        now.update(zip(found, map(old.__getitem__, found), strict=True))
+        return (now, old), new.difference(found)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.runs(t) for t in texts]
-        new = set().union(*cut)
-        if len(self.held) + len(new) > CACHE_WORDS:
-            self.held.clear()
-        if new := new - self.held.keys():
-            words = {r: self.words(r) for r in new if r not in self.special}
-            fresh = set().union(*words.values())
-            if len(self.known) + len(fresh) > CACHE_WORDS:
-                self.known.clear()
-            self.learn(fresh - self.known.keys())
-            for r in new:
-                self.held[r] = b"".join(map(self.known.__getitem__, words[r])) if r in words else self.special[r].to_bytes(4, "little")
-        return [b"".join(map(self.held.__getitem__, c)) for c in cut]
+        self.held, new = self._room(self.held, set().union(*cut))
+        # runs of ASCII letters, those with one mark or digit behind, special tokens, and all others
+        one, two, special, more = {}, {}, [], {}
+        for r in new:
+            if r in self.special:
+                special.append(r)
+            elif r.isascii() and r.isalpha():
+                one[r] = r.lower()
+            elif r.isascii() and r[:-1].isalpha():
+                two[r] = r[:-1].lower()
+            else:
+                more[r] = self.words(r)
+        asked = {*one.values(), *two.values(), *(r[-1] for r in two)}.union(*more.values())
+        self.known, fresh = self._room(self.known, asked)
+        known, held = self.known[0], self.held[0]
+        known.update(self.learn(fresh))
+        for r, w in one.items():
+            held[r] = known[w]
+        for r, w in two.items():
+            held[r] = known[w] + known[r[-1]]
+        for r, ws in more.items():
+            held[r] = b"".join(map(known.__getitem__, ws))
+        for r in special:
+            held[r] = self.special[r].to_bytes(4, "little")
+        return [b"".join(map(held.__getitem__, c)) for c in cut]
 
     def decode(self, ids: bytes) -> str:
         """The tokens with a space between each two, as the library does without a decoder."""
@@ -246,7 +295,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", doc_id: str =
 
     Whole texts; a null text counts as empty (no tokens, hashes of nothing). Repeated rows and null
     doc_ids come out as they came. Extra columns are ignored. No shuffle; memory is bounded by
-    CACHE_WORDS, a block of PIECE_CHARS and the longest text.
+    twice CACHE_WORDS, a block of PIECE_CHARS and the longest text.
     """
     extra = [("ids", "array<int>")] * with_ids + [("decoded", "string")] * with_text
 

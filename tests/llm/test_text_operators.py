@@ -53,6 +53,25 @@ def test_bpe_odd_words(text):
     assert own.decode(own.encode([text])[0]) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_words_held_once_are_kept(docs, monkeypatch):
+    """What a block needs again is not encoded anew when the room for words ends, and the results are the library's."""
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(vocabulary_path()), bpe.Tokenizer(vocabulary_path())
+    lib.no_truncation()
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 2000)
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 300)
+    learnt, learn = Counter(), own.learn
+    monkeypatch.setattr(own, "learn", lambda words: learnt.update(words) or learn(words))
+    often = "Zyqavor vorqubzy, xyq'zzvor qwptzy9 Füzqßvor<|endoftext|>"
+    texts = [t or "" for _, t in rows(docs)[:300]]
+    for t in texts:
+        for asked in (t, often):
+            assert np.frombuffer(own.encode([asked])[0], "<u4").tolist() == lib.encode(asked, add_special_tokens=False).ids
+    assert len(set().union(*(own.words(t) for t in texts))) > 3 * 2000
+    assert all(learnt[w] == 1 for w in ("zyqavor", "vorqubzy", "xyq", "zzvor", "qwptzy", "füzqßvor"))
+
+
 def test_bpe_texts_and_empty_table(odd, none):
     got = {r.doc_id: r for r in bpe.encode_decode(odd, vocabulary_path(), with_ids=True, with_text=True).collect()}
     assert got[5].ids == [] and got[5].decoded == "" and got[7].decoded == "a</w> b</w>"
