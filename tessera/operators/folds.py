@@ -1,35 +1,72 @@
 """Order-dependent folds that no window can express: one pass over each key's rows in order.
 
 Each fold is a plain function from a list of rows to a list of rows; `run` applies it to the groups of
-a table with Arrow-batched pandas. Keys must be real ones: a group is held by one task.
+a sorted table as they pass in Arrow batches. Keys must be real ones: a group is held by one task.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tessera.functions.ship import ship
 
 Fold = Callable[[list[dict]], list[dict]]
 
+#: One object, so that equal keys of no number are one key.
+NAN = float("nan")
 
-def run(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, schema: str) -> DataFrame:
-    """fold over the rows of each key in order; schema lists the result's columns, keys first."""
+
+def _values(column: pa.Array, key: bool) -> list:
+    """A batch's column as plain values. Missing numbers are NaN to a fold, which compares to nothing; a key stays null."""
+    number = pa.types.is_floating(column.type) or pa.types.is_integer(column.type)
+    if number and not column.null_count:
+        out = column.to_numpy(zero_copy_only=False).tolist()
+    else:
+        out = column.to_pylist()
+        if number and not key:
+            return [NAN if v is None else v for v in out]
+    return [NAN if v != v else v for v in out] if key and pa.types.is_floating(column.type) else out
+
+
+def run(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, schema: str, parts: int | None = None) -> DataFrame:
+    """fold over the rows of each key in order; schema lists the result's columns, keys first.
+
+    A task has many keys in `parts` parts of the table, sorted with spill; only the rows of the key at hand
+    are held as Python values, so that small keys cost no call of their own.
+    """
     ship(df.sparkSession)
-    names = [c.split()[0] for c in schema.split(",")]
+    columns, key_columns = list(df.columns), list(keys)
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(list(order), kind="stable").to_dict("records")
-        head = {k: rows[0][k] for k in keys}
-        out = [head | r for r in fold(rows)]
-        return pd.DataFrame({n: [r[n] for r in out] for n in names}, columns=names)
+    def batch(out: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type, from_pandas=True) for f in target], schema=target)
 
-    return df.groupBy(*keys).applyInPandas(group, schema)
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = [columns.index(k) for k in key_columns]
+        key_of = itemgetter(*at) if at else lambda _: ()
+        rows = (r for b in batches for r in zip(*[_values(c, n in key_columns) for n, c in zip(columns, b.columns, strict=True)], strict=True))
+        out: list[dict] = []
+        for key, held in groupby(rows, key_of):
+            head = dict(zip(key_columns, (key,) if len(at) == 1 else key, strict=True))
+            out += [head | r for r in fold([dict(zip(columns, r)) for r in held])]  # noqa: B905  (hot)
+            if len(out) >= 10_000:
+                yield batch(out)
+                out = []
+        yield batch(out)
+
+    ordered = [F.col(k).asc_nulls_first() for k in keys] + [F.col(c).asc_nulls_last() for c in order]
+    placed = df.repartition(*([parts] if parts else []), *keys) if keys else df.coalesce(1)
+    return placed.sortWithinPartitions(*ordered).mapInArrow(groups, schema)
 
 
 def distance(a: str, b: str) -> int:
@@ -329,13 +366,21 @@ def batches(near: float) -> Fold:
 def text_lines(rows: list[dict]) -> list[dict]:
     """Words (id, center, size) numbered by line: each joins the first line that has a word whose centre lies
     within half of both sizes' mean."""
-    lines: list[list[dict]] = []
+    lines: list[list[tuple]] = []
     out = []
     for r in rows:
-        nth = next((k for k, line in enumerate(lines) if any(abs(r["center"] - w["center"]) <= (r["size"] + w["size"]) / 4 for w in line)), len(lines))
-        if nth == len(lines):
-            lines.append([])
-        lines[nth].append(r)
+        center, size = r["center"], r["size"]
+        for nth, line in enumerate(lines):  # noqa: B007
+            for c, s in line:
+                if abs(center - c) <= (size + s) / 4:
+                    break
+            else:
+                continue
+            line.append((center, size))
+            break
+        else:
+            nth = len(lines)
+            lines.append([(center, size)])
         out.append({"id": r["id"], "line": nth})
     return out
 

@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 
 Keys = Sequence[str]
 
+#: Rows of a part of a table: what a task sorts does not grow with the table.
+PART_ROWS = 250_000
+
+
+def parts(df: DataFrame) -> int:
+    """How many parts of PART_ROWS rows a table has. The rows are counted at once, so df should be a stored table."""
+    return 1 + df.count() // PART_ROWS
+
 
 def dedupe_first(df: DataFrame, keys: Keys, order: Keys) -> DataFrame:
     """Of the rows with equal keys, the first by order. Null keys are equal to each other."""

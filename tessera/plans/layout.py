@@ -84,7 +84,7 @@ def padded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("text_lines")
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _boxes(spark, sf_dir).select("f", "id", ((F.col("y0") + F.col("y1")) / 2).alias("center"), (F.col("y1") - F.col("y0")).alias("size"))
-    return folds.run(words, ["f"], ["id"], folds.text_lines, "f long, id int, line int")
+    return folds.run(words, ["f"], ["id"], folds.text_lines, "f long, id int, line int", ordered.parts(table(spark, sf_dir, "lineitem")))
 
 
 @register("content_segments")

@@ -107,3 +107,25 @@ def test_folds_cover_all_rows(spark, name):
 
     out = catalog.queries()[name](spark, harness.DATA)
     assert out.agg({"n_rows": "sum"}).first()[0] == events(spark, harness.DATA).count()
+
+
+def test_a_call_folds_many_small_keys(spark):
+    """Keys cost no call of their own; a key goes on over batches; missing numbers compare to nothing; null keys are one."""
+    rows = [(k // 3 if k < 60 else None, k, None if k % 7 == 0 else float(k % 5), f"t{k}") for k in range(64)] + [(100, k, 1.0, None) for k in range(25)]
+    df = spark.createDataFrame(rows, "g long, at long, x double, t string")
+    seen = lambda held: [{"n": len(held), "places": ",".join(str(r["at"]) for r in held), "x": held[0]["x"], "near": sum(abs(r["x"] - 1) <= 1 for r in held), "t": held[-1]["t"]}]
+    out = folds.run(df, ["g"], ["at"], seen, "g long, n int, places string, x double, near int, t string")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = {r.g: tuple(r)[1:] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = {}
+    for g in {r[0] for r in rows}:
+        held = sorted((r for r in rows if r[0] == g), key=lambda r: r[1])
+        want[g] = (len(held), ",".join(str(r[1]) for r in held), held[0][2], sum(r[2] is not None and abs(r[2] - 1) <= 1 for r in held), held[-1][3])
+    assert got == want
+    assert folds.run(df.where("false"), ["g"], ["at"], seen, "g long, n int, places string, x double, near int, t string").count() == 0
