@@ -73,11 +73,32 @@ def descending_ladder(value: Column, floor: int, step: int) -> Column:
 def nearest(points: DataFrame, centres: DataFrame, keys: Keys, x: str, cx: str, cid: str, most: float) -> DataFrame:
     """Each point with the nearest centre of its group within `most` (ties: the smaller centre id); null without one.
 
-    Centres of a group are gathered in a list, so their number in a group must be bounded.
+    Points and centres are dealt into cells of twice `most`; a centre is in the cells next to its own, too, so a
+    point's cell has all that can be its own. There both are sorted once up and once down: the last centre passed
+    is the nearest on that side. Centres so close together that a distance may round to the same for several (a
+    clump; of a grid of decimals each is one alone) are passed as one and all compared. Null places or keys and
+    places that are no finite number have no centre.
     """
-    lists = centres.groupBy(*keys).agg(F.collect_list(F.struct(F.col(cx).alias("c"), F.col(cid).alias("i"))).alias("__cs"))
-    near = F.array_min(F.transform("__cs", lambda c: F.struct(F.abs(c["c"] - F.col(x)).alias("d"), c["i"].alias("i"))))
-    return points.join(lists, list(keys), "left").withColumn("__m", near).withColumn("centre", F.when(F.col("__m.d") <= most, F.col("__m.i"))).drop("__cs", "__m")
+    width = 2.0 * most if most > 0 else 1.0
+    # far out all places share a cell, and cells stay whole numbers
+    cell = lambda c: F.floor(F.greatest(F.least(F.col(c).cast("double") / width, F.lit(1e15)), F.lit(-1e15)))
+    finite = lambda c: F.abs(F.col(c).cast("double")) < float("inf")
+    group = [F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)]
+    in_cell = [*[f"__k{n}" for n in range(len(keys))], "__cell"]
+    known = centres.where(finite(cx)).dropna(subset=list(keys)).select(*group, F.col(cx).alias("__c"), F.col(cid).alias("__i"), cell(cx).alias("__o"))
+    near = known.withColumn("__cell", F.explode(F.array(F.col("__o") - 1, F.col("__o"), F.col("__o") + 1))).groupBy(*in_cell, "__c").agg(F.min("__i").alias("__i"))
+    up = Window.partitionBy(*in_cell).orderBy("__c")
+    apart = F.coalesce((F.col("__c") - F.lag("__c").over(up) > most * 2.0**-50).cast("int"), F.lit(0))
+    clumps = near.withColumn("__n", apart).withColumn("__g", F.sum("__n").over(up)).groupBy(*in_cell, "__g")
+    clumps = clumps.agg(F.min("__c").alias("__lo"), F.max("__c").alias("__hi"), F.collect_list(F.struct(F.col("__c").alias("c"), F.col("__i").alias("i"))).alias("__cs")).drop("__g")
+    asked = points.select(F.struct(*[F.col(c) for c in points.columns]).alias("__row"), *group, F.when(finite(x), F.col(x)).alias("__x"), F.when(finite(x), cell(x)).alias("__cell"))
+    both = asked.unionByName(clumps, allowMissingColumns=True)
+    passed = lambda by: F.last("__cs", ignorenulls=True).over(Window.partitionBy(*in_cell).orderBy(by, F.isnull("__cs")).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("__lo", F.coalesce("__lo", "__x")).withColumn("__hi", F.coalesce("__hi", "__x"))
+    both = both.withColumn("__below", passed(F.asc("__lo"))).withColumn("__above", passed(F.desc("__hi"))).where(F.col("__row").isNotNull())
+    ranked = F.transform(F.concat(F.coalesce("__below", "__above"), F.coalesce("__above", "__below")), lambda c: F.struct(F.abs(c["c"] - F.col("__x")).alias("d"), c["i"].alias("i")))
+    best = both.select("__row", F.array_min(ranked).alias("__m"))
+    return best.select("__row.*", F.when(F.col("__m.d") <= most, F.col("__m.i")).alias("centre"))
 
 
 def contained(inner: DataFrame, outer: DataFrame, keys: Sequence[str], id_: str, slack: float = 0) -> DataFrame:

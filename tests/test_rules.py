@@ -131,3 +131,25 @@ def test_stacked_boxes(spark):
     df = spark.createDataFrame(rows, "f long, id long, x0 double, y0 double, x1 double, y1 double")
     out = {(r.f, r.id): (r.n_boxes, r.y0, r.y1) for r in boxes.stacked(df, ["f"], "id", 200).collect()}
     assert out == {(1, 0): (1, 0, 40), (1, 1): (2, 0, 22), (1, 3): (1, 40, 50), (1, 4): (1, 0, 10), (2, 0): (1, 0, 10), (2, 1): (1, 12, 22)}
+
+
+def test_nearest_equals_all_pairs(spark):
+    """Ties of exact and of rounded distances, cells' borders, missing and infinite places, null keys, a centre twice."""
+    import math
+    import random
+
+    from tessera.operators import tables
+
+    rng, inf, nan = random.Random(3), float("inf"), float("nan")
+    odd = [None, nan, inf, -inf, 0.0, -0.0, -1e-20, 500.0, 1000.0, 499.99999999999994, 1e17, 1e300]
+    places = odd + [round(rng.uniform(-3000, 3000), 1) for _ in range(150)]
+    centres = [(k % 2, 900 - k, x) for k, x in enumerate(odd + [0.1 + 0.2, 0.3, 0.3, -700.0, -500.0] * 2 + [round(rng.uniform(-9000, 3000), 1) for _ in range(40)])] + [(None, 1, 5.0), (3, 2, None)]
+    points = [(k, n, x) for n, (k, x) in enumerate([(k, x) for k in (0, 1, 2, 3, None) for x in [*places, 100.3, -99.7, -600.0]])]
+
+    def plain(k, x):
+        near = [(abs(c - x), i) for g, i, c in centres if g == k and k is not None and None not in (c, x) and math.isfinite(c) and math.isfinite(x)]
+        return next((i for d, i in sorted(near)[:1] if d <= 500), None)
+
+    got = tables.nearest(spark.createDataFrame(points, "k int, n int, x double"), spark.createDataFrame(centres, "k int, i int, c double"), ["k"], "x", "c", "i", 500).collect()
+    want = {n: plain(k, x) for k, n, x in points}
+    assert len(got) == len(points) and {r.n: r.centre for r in got} == want and len(set(want.values())) > 30
