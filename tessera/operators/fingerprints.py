@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.clock import packed
 
+#: Of hashes, where rows are counted before they are told apart.
+BUCKETS = 1 << 20
+
 
 def shingles(df: DataFrame, id_: str, text: str, width: int, shown: bool = False) -> DataFrame:
     """(id, pos, hash) of each run of `width` words of other than white space (space, tab, line breaks).
@@ -38,11 +41,16 @@ def offset_histogram(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def stop_hashes(df: DataFrame, id_: str, ratio: float) -> DataFrame:
     """Hashes that more than that part of the ids hold, and how many hold them.
 
-    A hash of more ids has more rows, too: only those with rows enough are counted by id.
+    A hash of more ids has more rows, too, and so has the bucket of hashes it falls in: only rows of buckets
+    with rows enough are counted by hash and id. A bucket's mean share of the ids is the mean number of an id's
+    rows over BUCKETS, whatever the size of df, so what is shuffled is mostly rows of the hashes looked for.
+    df is computed three times and should be cheap to make.
     """
     total = df.agg(F.count_distinct(id_).alias("__t"))
-    often = df.groupBy("hash").agg(F.count("*").alias("__n")).join(F.broadcast(total), F.col("__n") > F.floor(F.col("__t") * ratio))
-    held = df.join(often.select("hash", "__t"), "hash").select("hash", id_, "__t").distinct()
+    bucket = F.pmod(F.xxhash64("hash"), F.lit(BUCKETS)).cast("int")
+    often = df.groupBy(bucket.alias("__b")).agg(F.count("*").alias("__n")).join(F.broadcast(total), F.col("__n") > F.floor(F.col("__t") * ratio))
+    # bounded: no more rows than BUCKETS
+    held = df.withColumn("__b", bucket).join(F.broadcast(often.select("__b", "__t")), "__b").select("hash", id_, "__t").distinct()
     return held.groupBy("hash").agg(F.count("*").alias("df"), F.first("__t").alias("__t")).where(F.col("df") > F.floor(F.col("__t") * ratio)).select("hash", "df")
 
 

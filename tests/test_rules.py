@@ -153,3 +153,15 @@ def test_nearest_equals_all_pairs(spark):
     got = tables.nearest(spark.createDataFrame(points, "k int, n int, x double"), spark.createDataFrame(centres, "k int, i int, c double"), ["k"], "x", "c", "i", 500).collect()
     want = {n: plain(k, x) for k, n, x in points}
     assert len(got) == len(points) and {r.n: r.centre for r in got} == want and len(set(want.values())) > 30
+
+
+def test_stop_hashes_shuffle_only_what_may_be_common(spark, monkeypatch):
+    """Rare hashes are not shuffled one by one; repeated rows of an id count once, whatever bucket they fall in."""
+    monkeypatch.setattr(fingerprints, "BUCKETS", 1024, raising=False)
+    rows = spark.range(200_000).select((F.col("id") % 400).alias("doc"), (F.col("id") * 7919).alias("hash"))
+    common = spark.range(400).select(F.col("id").alias("doc"), F.explode(F.array(*[F.lit(-k).cast("bigint") for k in (1, 2, 3)])).alias("hash"))
+    often_in_few = spark.range(3000).select((F.col("id") % 10).alias("doc"), F.lit(-4).cast("bigint").alias("hash"))
+    out = fingerprints.stop_hashes(rows.unionByName(common).unionByName(often_in_few).unionByName(common), "doc", 0.9)
+    assert sorted((r.hash, r.df) for r in out.collect()) == [(-3, 400), (-2, 400), (-1, 400)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "pmod(xxhash64(hash" in plan and "BroadcastHashJoin" in plan
