@@ -78,8 +78,9 @@ def stop_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, count(*) AS n_kept FROM d WHERE hash NOT IN (SELECT hash FROM s) GROUP BY doc_id""",
 )
 def stop_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = staged(grams(spark, sf_dir, "documents", "doc_id").select("doc_id", "hash"))
-    stops = staged(fingerprints.stop_hashes(d, "doc_id", 0.01))
+    # cut anew for each pass: the hashes of all documents are larger than their texts
+    d = grams(spark, sf_dir, "documents", "doc_id").select("doc_id", "hash")
+    stops = staged(fingerprints.stop_hashes(d, "doc_id", 0.01).select("hash"))
     return d.join(stops, "hash", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n_kept"))
 
 
