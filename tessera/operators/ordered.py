@@ -137,3 +137,25 @@ def padded_runs(runs: DataFrame, start: str, end: str, least: int, before: int,
     size = F.col(end) - F.col(start)
     out = runs.withColumn("length", size).where(F.col("length") >= least)
     return out.withColumn(start, F.greatest(F.col(start) - before, F.lit(0))).withColumn(end, F.col(end) + behind)
+
+
+def placed(df: DataFrame, keys: Keys, order: Keys, count: int) -> DataFrame:
+    """df with each row's place (__i, from 0) in its key's order and the key's number of rows (__n), for a few keys
+    with many rows: sorted in `count` parts over all tasks, written, and numbered by the rows of the parts before."""
+    from tessera.functions.shared import fresh_dir
+
+    spark, by = df.sparkSession, [F.asc(k) for k in keys] + [F.asc_nulls_last(c) for c in order]
+    row = F.monotonically_increasing_id()  # the part, and from bit 33 down the place in it
+    dealt = df.repartitionByRange(count, *by).sortWithinPartitions(*by).withColumn("__r", row)
+    path = fresh_dir(spark, "placed")
+    dealt.write.parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path).withColumn("__p", F.shiftright("__r", 33))
+    held = rows.groupBy(*keys, "__p").agg(F.count("*").alias("__c"), F.min("__r").alias("__first"))
+    all_ = Window.partitionBy(*keys)
+    before = F.sum("__c").over(all_.orderBy("__p")) - F.col("__c") - F.col("__first")
+    starts = held.select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], F.col("__p").alias("__q"), before.alias("__before"), F.sum("__c").over(all_).alias("__n"))
+    same = F.col("__p") == F.col("__q")
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{n}"))
+    out = rows.join(F.broadcast(starts), same)  # bounded: no more rows than parts and keys together
+    return out.withColumn("__i", F.col("__r") + F.col("__before")).select(*df.columns, "__i", "__n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import summaries
+from tessera.operators import ordered, summaries
 
 from .catalog import register, table
 from .rows import HOUR, events
@@ -93,14 +93,10 @@ def best_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_returnflag, CASE WHEN n // 60 = 0 THEN 59 ELSE least(i // (n // 60), 59) END AS bin, CAST(sum(q * q) AS BIGINT) AS square_sum, count(*) AS n_values FROM r GROUP BY ALL""",
 )
 def rms_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_returnflag")
-    rows = table(spark, sf_dir, "lineitem").select(
-        "l_returnflag",
-        F.col("l_quantity").cast("bigint").alias("q"),
-        (F.row_number().over(w.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")) - 1).alias("i"),
-        F.count("*").over(w).alias("n"),
-    )
-    return summaries.envelope(rows, ["l_returnflag"], "i", "n", "q", 60)
+    items = table(spark, sf_dir, "lineitem")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = ordered.placed(items.select("l_returnflag", *order, F.col("l_quantity").cast("bigint").alias("q")), ["l_returnflag"], order, ordered.parts(items))
+    return summaries.envelope(rows, ["l_returnflag"], "__i", "__n", "q", 60)
 
 
 @register(

@@ -129,3 +129,17 @@ def test_a_call_folds_many_small_keys(spark):
         want[g] = (len(held), ",".join(str(r[1]) for r in held), held[0][2], sum(r[2] is not None and abs(r[2] - 1) <= 1 for r in held), held[-1][3])
     assert got == want
     assert folds.run(df.where("false"), ["g"], ["at"], seen, "g long, n int, places string, x double, near int, t string").count() == 0
+
+
+def test_places_in_a_few_large_keys(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import ordered
+
+    df = spark.range(3000).select(F.when(F.col("id") % 5 < 3, "a").when(F.col("id") % 5 == 3, "b").alias("k"), ((F.col("id") * 7919) % 3001).alias("x"))
+    rows = sorted(((r.k, r.x) for r in df.collect()), key=str)
+    places = {}
+    for k in ("a", "b", None):
+        held = sorted(x for g, x in rows if g == k)
+        places |= {(k, x): (n, len(held)) for n, x in enumerate(held)}
+    assert {(r.k, r.x): (r["__i"], r["__n"]) for r in ordered.placed(df, ["k"], ["x"], 7).collect()} == places
